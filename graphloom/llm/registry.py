@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, url_filter
+from graphloom.llm import chat_format, quality, simhash, url_filter
 
-MODULES = (chat_format, url_filter)
+MODULES = (chat_format, quality, simhash, url_filter)
 
 
 def queries() -> dict:
