@@ -69,7 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table made by written() that nothing reads any more."""
+    _delete(df.sparkSession, df._written)
 
 
 def batches_of(spark: SparkSession, rows: int = 1000) -> None:
