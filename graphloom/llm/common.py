@@ -6,6 +6,7 @@ Words are maximal runs of anything but space, tab, line feed, vertical tab, form
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -79,6 +80,12 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, df._written)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def batches_of(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches small enough that a batch of long texts fits a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:

@@ -10,10 +10,11 @@ empty set and is linked with nothing). Two documents are linked if 100 * |inters
 3. In each bucket of a band, the classes are tied to the smallest one (never to each other); the components of these ties
    are the clusters in which all links of the bands lie.
 4. A cluster's texts meet in blocks of at most BLOCK classes. A block's full sets are intersected at once (one sparse
-   matrix product), which confirms links exactly. From each part of a block that hangs together its member with most links
-   goes to the next level, until a cluster fits one block or blocks stop shrinking.
-5. What blocks kept apart: in buckets whose classes are still in different parts, the pairs across parts are confirmed one
-   by one on full sets. Then the components of the confirmed links are the result.
+   matrix product), which confirms links exactly. From each part of a block that hangs together, if not of one class, its member with
+   most links goes to the next level, until a cluster fits one block or blocks stop shrinking.
+5. What blocks kept apart: classes of buckets that still hold different parts are dealt into slices of BLOCK classes, and
+   each two slices of a cluster meet in one task, which intersects full sets again and returns no pairs but the links along
+   which parts hang together. Then the components of the confirmed links are the result.
 
 Defined cases: null, empty and blank texts have n_shingles 0, are their own component and are kept; of rows that share an
 id, each is a row of the result with the same component; rows with a null id are kept and never linked; an empty table gives
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, shingles, text_bytes, tokens, written
 from graphloom.llm.components import components
 
-PERMUTATIONS, ROWS, BLOCK, SIMILAR = 64, 4, 192, 80
+PERMUTATIONS, ROWS, BLOCK, SIMILAR = 64, 4, 512, 80
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -163,23 +164,6 @@ def confirm_blocks(members: DataFrame, k: int, similar: int) -> DataFrame:
     return members.groupBy("block", "block2").applyInArrow(run, "cid long, center long")
 
 
-def confirm_pairs(pairs: DataFrame, docs: DataFrame, k: int, similar: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked, by their full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            sides = [text_bytes(batch.column(c)) for c in (2, 3)]
-            for i in range(batch.num_rows):
-                x, y = (shingle_sets(d[s[i] : s[i + 1]], s[i : i + 2] - s[i], k)[0] for d, s in sides)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(100 * both >= similar * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
-
-    texts = lambda n: docs.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
-    return pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block: int = BLOCK, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -209,7 +193,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
             break
         apart = True
         before = active.join(large, "cluster", "left_semi")
-        tops = found.select(F.col("center").alias("cid")).distinct()
+        tops = found.groupBy(F.col("center").alias("cid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid")
         after = written(before.join(tops, "cid", "left_semi").select("cid", "cluster"), "active")
         shrunk = after.count() < 0.7 * before.count()
         active = after
@@ -228,16 +212,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
 
 
 def across(edges: DataFrame, clusters: DataFrame, entries: DataFrame, texts: DataFrame, k: int, similar: int, block: int) -> DataFrame:
-    """Links (cid, center) between parts of clusters that did not fit one block."""
+    """Links (cid, center) between parts of clusters that did not fit one block. Members of buckets with several parts are
+    dealt into slices of ``block``, and each two slices meet in a task of their own, which gives at most a row for each."""
     parts = components(edges, "center", "cid").withColumnRenamed("node", "cid")
     large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster")
-    here = clusters.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", F.coalesce("component", "cid").alias("part"))
+    here = clusters.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", "cluster", F.coalesce("component", "cid").alias("part"))
     held = entries.join(here, "cid")
     mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    held = held.join(mixed, "key", "left_semi")
-    pairs = held.select("key", F.col("cid").alias("a"), F.col("part").alias("pa")).join(held.select("key", F.col("cid").alias("b"), F.col("part").alias("pb")), "key").where("pa < pb").select("a", "b").distinct()
-    found = written(confirm_pairs(pairs, texts, k, similar), "across")
-    return found.select(F.col("a").alias("cid"), F.col("b").alias("center"))
+    left = written(held.join(mixed, "key", "left_semi").select("cid", "cluster").distinct(), "left")
+    sizes = left.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(2)).cast("int").alias("m"))
+    own = left.join(sizes, "cluster").withColumn("s", F.pmod(F.xxhash64("cid", F.lit(-1)), F.col("m")).cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda t: t != F.col("s"))
+    met = own.select("cid", F.col("cluster").alias("block"), F.explode(F.transform(other, lambda t: F.least(t, "s") * F.col("m") + F.greatest(t, "s"))).alias("block2"))
+    return written(confirm_blocks(met.join(texts.withColumnRenamed("doc_id", "cid"), "cid").select("block", "block2", "cid", "text"), k, similar), "across")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

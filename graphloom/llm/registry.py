@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, minhash, quality, simhash, url_filter
+from graphloom.llm import chat_format, minhash, quality, simhash, suffix_dedup, url_filter
 
-MODULES = (chat_format, minhash, quality, simhash, url_filter)
+MODULES = (chat_format, minhash, quality, simhash, suffix_dedup, url_filter)
 
 
 def queries() -> dict:
