@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, minhash, quality, simhash, suffix_dedup, url_filter
+from graphloom.llm import chat_format, minhash, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, url_filter
 
-MODULES = (chat_format, minhash, quality, simhash, suffix_dedup, url_filter)
+MODULES = (quality, sentencepiece_codec, suffix_dedup, simhash, url_filter, mixing, chat_format, minhash)
 
 
 def queries() -> dict:

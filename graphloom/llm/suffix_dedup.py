@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, written
+from graphloom.llm.common import Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, with_row_ids, written
 
 LENGTH, SEED, PIECE, BATCH, BUCKET_BYTES = 400, 100, 1 << 20, 4096, 8 << 20
 
@@ -195,15 +195,6 @@ def matched_spans(spans: DataFrame, length: int, seed: int) -> DataFrame:
     return spans.groupBy("bucket").applyInArrow(run, "a long, t long, cover array<struct<b:int,e:int>>")
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """Adds rid: the id where ids are unique, else a number made of the id and the row's place among those of its id."""
-    docs = docs.withColumn("rid", F.col("doc_id").cast("long"))
-    if not docs.groupBy("rid").count().where("rid is null or count > 1").limit(1).count():
-        return docs
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.withColumn("rid", F.xxhash64(F.coalesce("rid", F.lit(0)), F.col("rid").isNull(), place))
-
-
 def duplicate_ranges(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """rid and spans (array<struct<b, e>> of byte ranges, in any order, possibly overlapping) of each text with duplicates."""
     spark = docs.sparkSession
