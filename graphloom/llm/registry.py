@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_format, minhash, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, url_filter
+import corpus_pipeline
+from graphloom.llm import chat_format, license_scan, lm_scoring, minhash, mixing, quality, sentencepiece_codec, simhash, suffix_dedup, url_filter
 
-MODULES = (quality, sentencepiece_codec, suffix_dedup, simhash, url_filter, mixing, chat_format, minhash)
+MODULES = (lm_scoring, license_scan, quality, sentencepiece_codec, suffix_dedup, simhash, url_filter, mixing, chat_format, minhash)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
-    return {k: q for m in MODULES for k, q in getattr(m, "ORACLES", {}).items()}
+    return {k: q for m in MODULES for k, q in getattr(m, "ORACLES", {}).items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
