@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     banded = named.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "bands")
     entries = banded.select("cid", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    ties = written(entries.join(least, "key").where(F.col("cid") != F.col("center")).select("center", "cid").distinct(), "ties")
+    ties = written(entries.join(least.hint("merge"), "key").where(F.col("cid") != F.col("center")).select("center", "cid").distinct(), "ties")
     clusters = written(components(ties, "center", "cid").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
     drop(ties)
     texts = docs
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     for level in range(20):
         sizes = active.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         dealt = active.join(sizes, "cluster").withColumn("block2", F.pmod(F.xxhash64("cid", F.lit(level)), F.ceil(F.col("size") / block)).cast("int"))
-        found = written(confirm_blocks(dealt.join(texts.withColumnRenamed("doc_id", "cid"), "cid").select(F.col("cluster").alias("block"), "block2", "cid", "text"), k, similar), "links")
+        found = written(confirm_blocks(dealt.hint("merge").join(texts.withColumnRenamed("doc_id", "cid"), "cid").select(F.col("cluster").alias("block"), "block2", "cid", "text"), k, similar), "links")
         links.append(found)
         large = sizes.where(F.col("size") > block).select("cluster")
         if not large.limit(1).count():
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     for more in links[1:]:
         edges = edges.unionByName(more)
     if apart:
-        edges = edges.unionByName(across(edges, clusters, entries, texts, k, similar, block))
+        edges = edges.unionByName(across(edges, clusters, banded, texts, k, similar, block))
     parts = components(edges, "center", "cid")
     result = named.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.coalesce("component", "cid").alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(result, "doc_id", "left")
@@ -211,13 +211,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def across(edges: DataFrame, clusters: DataFrame, entries: DataFrame, texts: DataFrame, k: int, similar: int, block: int) -> DataFrame:
+def across(edges: DataFrame, clusters: DataFrame, banded: DataFrame, texts: DataFrame, k: int, similar: int, block: int) -> DataFrame:
     """Links (cid, center) between parts of clusters that did not fit one block. Members of buckets with several parts are
     dealt into slices of ``block``, and each two slices meet in a task of their own, which gives at most a row for each."""
     parts = components(edges, "center", "cid").withColumnRenamed("node", "cid")
     large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster")
     here = clusters.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", "cluster", F.coalesce("component", "cid").alias("part"))
-    held = entries.join(here, "cid")
+    held = banded.join(here, "cid").select("cid", "cluster", "part", F.explode("bands").alias("key"))
     mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     left = written(held.join(mixed, "key", "left_semi").select("cid", "cluster").distinct(), "left")
     sizes = left.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(2)).cast("int").alias("m"))
