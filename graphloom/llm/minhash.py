@@ -181,12 +181,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     ties = written(entries.join(least.hint("merge"), "key").where(F.col("cid") != F.col("center")).select("center", "cid").distinct(), "ties")
     clusters = written(components(ties, "center", "cid").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
     drop(ties)
-    texts = docs
+    # the texts of cluster members, moved once for all levels
+    members = written(clusters.hint("merge").join(docs.withColumnRenamed("doc_id", "cid"), "cid").select("cid", "cluster", "text"), "members")
     links, active, apart = [], clusters, False
     for level in range(20):
         sizes = active.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         dealt = active.join(sizes, "cluster").withColumn("block2", F.pmod(F.xxhash64("cid", F.lit(level)), F.ceil(F.col("size") / block)).cast("int"))
-        found = written(confirm_blocks(dealt.hint("merge").join(texts.withColumnRenamed("doc_id", "cid"), "cid").select(F.col("cluster").alias("block"), "block2", "cid", "text"), k, similar), "links")
+        found = written(confirm_blocks(dealt.join(members.select("cid", "text"), "cid").select(F.col("cluster").alias("block"), "block2", "cid", "text"), k, similar), "links")
         links.append(found)
         large = sizes.where(F.col("size") > block).select("cluster")
         if not large.limit(1).count():
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     for more in links[1:]:
         edges = edges.unionByName(more)
     if apart:
-        edges = edges.unionByName(across(edges, clusters, banded, texts, k, similar, block))
+        edges = edges.unionByName(across(edges, clusters, banded, members, k, similar, block))
     parts = components(edges, "center", "cid")
     result = named.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.coalesce("component", "cid").alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(result, "doc_id", "left")
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def across(edges: DataFrame, clusters: DataFrame, banded: DataFrame, texts: DataFrame, k: int, similar: int, block: int) -> DataFrame:
+def across(edges: DataFrame, clusters: DataFrame, banded: DataFrame, members: DataFrame, k: int, similar: int, block: int) -> DataFrame:
     """Links (cid, center) between parts of clusters that did not fit one block. Members of buckets with several parts are
     dealt into slices of ``block``, and each two slices meet in a task of their own, which gives at most a row for each."""
     parts = components(edges, "center", "cid").withColumnRenamed("node", "cid")
@@ -224,7 +225,7 @@ def across(edges: DataFrame, clusters: DataFrame, banded: DataFrame, texts: Data
     own = left.join(sizes, "cluster").withColumn("s", F.pmod(F.xxhash64("cid", F.lit(-1)), F.col("m")).cast("int"))
     other = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda t: t != F.col("s"))
     met = own.select("cid", F.col("cluster").alias("block"), F.explode(F.transform(other, lambda t: F.least(t, "s") * F.col("m") + F.greatest(t, "s"))).alias("block2"))
-    return written(confirm_blocks(met.join(texts.withColumnRenamed("doc_id", "cid"), "cid").select("block", "block2", "cid", "text"), k, similar), "across")
+    return written(confirm_blocks(met.join(members.select("cid", "text"), "cid").select("block", "block2", "cid", "text"), k, similar), "across")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
