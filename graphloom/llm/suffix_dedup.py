@@ -208,13 +208,13 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     size = several.agg(F.sum(F.col("n") + length)).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     cut = F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), (F.col("s") + 1).cast("int"), F.col("n") + length - 1)
-    texts = several.join(docs.select("rid", "text"), "rid").select(F.pmod("a", F.lit(buckets)).alias("bucket"), "a", "t", "o", cut.alias("span"))
+    texts = several.hint("merge").join(docs.select("rid", "text"), "rid").select(F.pmod("a", F.lit(buckets)).alias("bucket"), "a", "t", "o", cut.alias("span"))
     partial = written(matched_spans(texts, length, seed), "matches")
     release(spark)
     whole = F.array(F.struct(F.lit(0).alias("b"), (F.col("n") + length - 1).alias("e")))
     covered = variants.where("times > 1").select("a", "t", whole.alias("cover"))
     once = variants.where("times = 1").select("a", "t").join(partial, ["a", "t"])
-    hits = found.join(covered.unionByName(once), ["a", "t"]).select("rid", F.transform("cover", lambda c: F.struct((c["b"] + F.col("s")).alias("b"), (c["e"] + F.col("s")).alias("e"))).alias("cover"))
+    hits = found.join(covered.unionByName(once).hint("merge"), ["a", "t"]).select("rid", F.transform("cover", lambda c: F.struct((c["b"] + F.col("s")).alias("b"), (c["e"] + F.col("s")).alias("e"))).alias("cover"))
     out = written(hits.groupBy("rid").agg(F.flatten(F.collect_list("cover")).alias("spans")), "ranges")
     release(spark)
     for df in (found, variants, partial):
@@ -237,7 +237,7 @@ def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     that of the remaining bytes; in the text, characters of which some bytes went are dropped."""
     own = ("rid", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rows = with_row_ids(docs.drop(*own))
-    both = rows.join(duplicate_ranges(rows, length, seed), "rid", "left").drop("rid")
+    both = rows.join(duplicate_ranges(rows, length, seed).hint("merge"), "rid", "left").drop("rid")
     names = [c for c in both.columns if c != "spans"]
     place = {c: both.columns.index(c) for c in both.columns}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*names).schema) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
