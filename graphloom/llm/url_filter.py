@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read
+from graphloom.llm.common import read, written
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDER, WEIGHT, ALPHABET, SCALE = 3, 4.0, 256, 1_000_000
@@ -80,9 +80,11 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     # equal URLs are scored once
     urls = rows.where(F.length("url") > 0).groupBy("url").agg(F.count(F.lit(1)).alias("times"), F.first("fit").alias("fit"))
     exploded = urls.select("url", "times", (F.col("fit.verdict") == "allow").alias("allowed"), F.explode(grams(F.col("url"))).alias("gram"))
+    # tables of distinct characters in context and of distinct URLs, each read several times below
     counted = exploded.groupBy("gram").agg(*(F.sum(F.when(F.col("allowed") == v, F.col("times")).otherwise(0)).alias(x) for x, v in (("a", True), ("b", False))))
-    scored = exploded.join(ratios_of(counted), "gram").groupBy("url").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n_chars"), F.first("times").alias("times"), F.first("allowed").alias("allowed"))
-    mean = scored.select("url", "n_chars", "times", "allowed", (F.col("total") / F.col("n_chars") / SCALE).alias("score"))
+    counted = written(counted, "grams")
+    scored = exploded.join(written(ratios_of(counted), "ratios"), "gram").groupBy("url").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n_chars"), F.first("times").alias("times"), F.first("allowed").alias("allowed"))
+    mean = written(scored.select("url", "n_chars", "times", "allowed", (F.col("total") / F.col("n_chars") / SCALE).alias("score")), "urls")
     sides = mean.where(F.col("allowed").isNotNull()).groupBy("allowed").agg(F.sum(F.round(F.col("score") * SCALE).cast("long") * F.col("times")).alias("s"), F.sum("times").alias("n")).collect()
     threshold = sum(r["s"] / r["n"] for r in sorted(sides, key=lambda r: r["allowed"])) / 2 / SCALE if len(sides) == 2 else 0.0
     judged = rows.join(mean.select("url", "score", "n_chars"), "url", "left")
