@@ -3,8 +3,8 @@
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Of each template the runs of SHINGLE words are
 hashed and winnowed: of each WINDOW successive hashes the smallest (the last of equal ones) is a fingerprint. The index maps
 fingerprints to template and place; it holds templates only, so its size does not depend on the corpus, and it is sent to
-every task. Every shingle of a document is looked up; a hit proposes a template at a diagonal. Diagonals within BAND of
-each other are one candidate, which banded alignment (match 1, mismatch and gap -1, free ends) confirms.
+every task. Every shingle of a document is looked up; a hit behind the template's last match proposes a
+template at a diagonal, which alignment within BAND of it (match 1, mismatch and gap -1, free ends) confirms.
 
 A match covers ``matched / words of the template``; from LEAST_COVERAGE on it is reported with its span in code points (from
 the first to behind the last matched word). A template matched twice in a text gives two rows; of matches that overlap
@@ -120,18 +120,20 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return best[1], best[2], best[3]
 
 
-def scan_text(index: Index, h: np.ndarray, at: np.ndarray, which: np.ndarray, place: np.ndarray, least: float, band: int = BAND) -> list[tuple]:
+def scan_text(index: Index, h: np.ndarray, at: np.ndarray, which: np.ndarray, place: np.ndarray, least: float) -> list[tuple]:
     """(template name, matched, coverage, first word, last word) of the matches of a text with these hits."""
     found = []
     for t in np.unique(which):
-        template, last = index.words[t], None
-        for d in np.unique((at - place)[which == t]):
-            if last is not None and d - last <= band:
+        template, last, tried = index.words[t], -1, set()
+        own = which == t
+        for x, d in sorted(zip(at[own].tolist(), (at - place)[own].tolist(), strict=True)):
+            if x <= last or d in tried:
                 continue
-            last = d
-            m, a, b = align(template, h, int(d), band)
+            tried.add(d)
+            m, a, b = align(template, h[last + 1 :], d - last - 1)
             if m and m / len(template) >= least:
-                found.append((index.names[t], m, m / len(template), a, b))
+                found.append((index.names[t], m, m / len(template), a + last + 1, b + last + 1))
+                last, tried = b + last + 1, set()
     found.sort(key=lambda f: (-f[1], f[3], f[0]))
     kept: list[tuple] = []
     for f in found:

@@ -136,7 +136,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, most: int = VOCABULA
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(read(spark, sf_dir, "documents"), trusted_ids(read(spark, sf_dir, "labels")))
+    return score_documents(read(spark, sf_dir, "documents"), trusted_ids(read(spark, sf_dir, "labels")).select("_good"))
 
 
 QUERIES = {"op1_lm_scoring": op1_lm_scoring}

@@ -27,7 +27,7 @@ from graphloom.llm.common import read, words
 
 SHINGLE, BITS, BLOCKS = 5, 128, 5
 ROWS_PER_RANGE, MOST_RANGES = 5_000, 1_000
-_PAIR = F.lit((1 << 32) | 1)
+_PAIR = (1 << 32) | 1
 
 
 def fingerprints(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -38,7 +38,7 @@ def fingerprints(rows: DataFrame, key: list[str], text: str = "text") -> DataFra
     short = F.when(F.size(w) == 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
     each = listed.select(*key, F.explode(F.when(F.size(w) < SHINGLE, short).otherwise(runs)).alias("_h0"))
     each = each.withColumn("_h1", F.when(F.col("_h0").isNotNull(), F.xxhash64("_h0")))
-    sums = [F.sum(F.shiftrightunsigned(f"_h{j}", k).bitwiseAND(_PAIR)).alias(f"_s{j}_{k}") for j in range(BITS // 64) for k in range(32)]
+    sums = [F.sum(F.shiftrightunsigned(f"_h{j}", k).bitwiseAND(F.lit(_PAIR))).alias(f"_s{j}_{k}") for j in range(BITS // 64) for k in range(32)]
     voted = each.groupBy(*key).agg(F.count("_h0").alias("_n"), *sums)
     bit = lambda s, on: F.when(2 * s > F.col("_n"), F.lit(on)).otherwise(F.lit(0))
 
