@@ -12,9 +12,11 @@ empty set and is linked with nothing). Two documents are linked if 100 * |inters
 4. A cluster's texts meet in blocks of at most BLOCK classes. A block's full sets are intersected at once (one sparse
    matrix product), which confirms links exactly. From each part of a block that hangs together, if not of one class, its member with
    most links goes to the next level, until a cluster fits one block or blocks stop shrinking.
-5. What blocks kept apart: classes of buckets that still hold different parts are dealt into slices of BLOCK classes, and
-   each two slices of a cluster meet in one task, which intersects full sets again and returns no pairs but the links along
-   which parts hang together. Then the components of the confirmed links are the result.
+5. What blocks kept apart: in each bucket that still holds different parts, the signatures (a byte of each value) are
+   compared across parts. A link at the wanted similarity is estimated SIGMAS deviations lower with probability 2e-8. Classes with such
+   a neighbour form groups by the components of these estimates, so a cluster of classes that only share buckets by chance
+   falls apart. Each two slices of BLOCK classes of a group meet in one task, which intersects full sets again and returns
+   no pairs but the links along which parts hang together. The components of the confirmed links are the result.
 
 Defined cases: null, empty and blank texts have n_shingles 0, are their own component and are kept; of rows that share an
 id, each is a row of the result with the same component; rows with a null id are kept and never linked; an empty table gives
@@ -27,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, shingles, text_bytes, tokens, written
 from graphloom.llm.components import components
 
-PERMUTATIONS, ROWS, BLOCK, SIMILAR = 64, 4, 512, 80
+PERMUTATIONS, ROWS, BLOCK, SIMILAR, SIGMAS = 64, 4, 512, 80, 5.5
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -81,7 +83,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that tell sets apart), bands."""
+    """doc_id, n_shingles, set_a, set_b (128 bits that tell sets apart), bands, short (a byte of each value of the signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,18 +94,19 @@ def sketch(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, rows: int
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
                 a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                bands = [None] * len(sets)
+                bands, short = [None] * len(sets), [None] * len(sets)
                 if len(full):
                     own = [sets[x] for x in full]
                     flat, at = np.concatenate(own), np.cumsum([0, *(len(s) for s in own[:-1])])
                     a[full] = mix(np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5)), at))
                     b[full] = mix(np.bitwise_xor.reduceat(mix(flat + np.uint64(0x5851F42D4C957F2D)), at) + n[full].astype(np.uint64))
-                    for x, keys in zip(full, band_keys(signatures(own, permutations), rows).view(np.int64), strict=True):
-                        bands[x] = keys
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                    sig = signatures(own, permutations)
+                    for x, keys, low in zip(full, band_keys(sig, rows).view(np.int64), sig.astype(np.uint8), strict=True):
+                        bands[x], short[x] = keys, low.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "short"])
 
     batches_of(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, short binary")
 
 
 def links_of(sets: list[np.ndarray], similar: int) -> np.ndarray:
@@ -175,7 +178,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     sig = written(sketch(docs, k, permutations, rows), "sketch")
     named = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cid"))
-    banded = named.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "bands")
+    banded = named.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "bands", "short")
     entries = banded.select("cid", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ties = written(entries.join(least.hint("merge"), "key").where(F.col("cid") != F.col("center")).select("center", "cid").distinct(), "ties")
@@ -212,20 +215,51 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def slices(size: Column, most: int) -> Column:
+    """The slice of a class (column cid) of a group, and how many there are: one, or as many as hold about ``most`` classes."""
+    m = F.ceil(size / most).cast("int")
+    return F.struct(F.pmod(F.xxhash64("cid", F.lit(-1)), m).cast("int").alias("s"), m.alias("m"))
+
+
+def meetings(of: Column) -> Column:
+    """The tasks where a slice meets each other one; a number for each two slices."""
+    other = F.filter(F.sequence(F.lit(0), of["m"] - 1), lambda t: t != of["s"])
+    return F.when(of["m"] == 1, F.array(F.lit(0))).otherwise(F.transform(other, lambda t: F.least(t, of["s"]) * of["m"] + F.greatest(t, of["s"])))
+
+
+def estimated_links(rows: DataFrame, similar: int, sigmas: float = SIGMAS) -> DataFrame:
+    """rows: key, block2, cid, part, short. Gives cid, center: the classes whose signature agrees with one of another part as
+    that of a link may, and the smallest class that they hang together with along such pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("cid").to_numpy())))
+        ids, part = table.column("cid").to_numpy(), table.column("part").to_numpy()
+        values = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(ids), -1)
+        n, p = values.shape[1], similar / 100
+        least = n * p - sigmas * (n * p * (1 - p)) ** 0.5
+        near = np.zeros((len(ids), len(ids)), bool)
+        for i in range(len(ids)):
+            near[i] = (np.count_nonzero(values == values[i], axis=1) >= least) & (part != part[i])
+        some, first = near.any(axis=1), parts_of(near)
+        return pa.table({"cid": ids[some], "center": ids[first[some]]})
+
+    return rows.groupBy("key", "block2").applyInArrow(run, "cid long, center long")
+
+
 def across(edges: DataFrame, clusters: DataFrame, banded: DataFrame, members: DataFrame, k: int, similar: int, block: int) -> DataFrame:
-    """Links (cid, center) between parts of clusters that did not fit one block. Members of buckets with several parts are
-    dealt into slices of ``block``, and each two slices meet in a task of their own, which gives at most a row for each."""
+    """Links (cid, center) between parts of clusters that did not fit one block; each task gives at most a row for each member."""
     parts = components(edges, "center", "cid").withColumnRenamed("node", "cid")
     large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster")
-    here = clusters.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", "cluster", F.coalesce("component", "cid").alias("part"))
-    held = banded.join(here, "cid").select("cid", "cluster", "part", F.explode("bands").alias("key"))
-    mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    left = written(held.join(mixed, "key", "left_semi").select("cid", "cluster").distinct(), "left")
-    sizes = left.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(2)).cast("int").alias("m"))
-    own = left.join(sizes, "cluster").withColumn("s", F.pmod(F.xxhash64("cid", F.lit(-1)), F.col("m")).cast("int"))
-    other = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda t: t != F.col("s"))
-    met = own.select("cid", F.col("cluster").alias("block"), F.explode(F.transform(other, lambda t: F.least(t, "s") * F.col("m") + F.greatest(t, "s"))).alias("block2"))
-    return written(confirm_blocks(met.join(members.select("cid", "text"), "cid").select("block", "block2", "cid", "text"), k, similar), "across")
+    here = clusters.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", F.coalesce("component", "cid").alias("part"))
+    held = written(banded.join(here, "cid").select("cid", "part", F.explode("bands").alias("key")), "held")
+    mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
+    met = held.join(mixed, "key").select("key", "cid", "part", F.explode(meetings(slices(F.col("size"), 4 * block))).alias("block2"))
+    near = estimated_links(met.join(banded.select("cid", "short"), "cid"), similar)
+    groups = written(components(near, "center", "cid").withColumnRenamed("node", "cid"), "groups")
+    drop(held)
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    dealt = groups.join(sizes, "component").select("cid", F.col("component").alias("block"), F.explode(meetings(slices(F.col("size"), block))).alias("block2"))
+    return written(confirm_blocks(dealt.join(members.select("cid", "text"), "cid").select("block", "block2", "cid", "text"), k, similar), "across")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,21 @@ def test_minhash(spark, k, block):
     assert got == brute_groups(rows, k)
 
 
+def test_minhash_keeps_chance_clusters_apart(spark):
+    """Texts that share a third of their shingles meet in buckets by chance; only real links may tie them."""
+    rng = np.random.default_rng(8)
+    common, rows = [f"c{x}" for x in range(60)], []
+    for _ in range(40):
+        w = common + [f"u{x}" for x in rng.integers(0, 10**9, 60)]
+        rows.append((len(rows), " ".join(w)))
+        if len(rows) % 4 == 1:
+            w[-1] = "other"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, k=4, block=4).collect()}
+    assert got == brute_groups(rows, 4)
+
+
 def test_minhash_edges(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
