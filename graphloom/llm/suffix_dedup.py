@@ -12,6 +12,9 @@ anchor answers for the run of windows that chose it.
    levels of equal size merge, so their sizes grow geometrically.
    A window with ``a`` bytes before the anchor is a duplicate if another span agrees in the suffix order to LENGTH - a bytes
    and in the prefix order to a bytes; both are read from the common-prefix lengths of neighbours.
+   A seed with more than HOT different spans is split first: its windows by the bytes ``a`` before the anchor, in two halves.
+   All windows of a half hold the same longer stretch around the anchor, which is the half's seed; what is left of the spans is
+   treated like spans of that seed, and split again while it is hot. A half of one window has nothing but copies.
 3. Each span's duplicate windows go back to all its anchors, and each document's bytes are cut.
 
 Defined cases: a null text is an empty text; texts shorter than LENGTH bytes keep all their bytes; matches never cross
@@ -28,11 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm.common import Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, with_row_ids, written
 
-LENGTH, SEED, PIECE, BATCH, BUCKET_BYTES = 400, 100, 1 << 20, 4096, 8 << 20
+LENGTH, SEED, PIECE, BATCH, BUCKET_BYTES, HOT = 400, 100, 1 << 20, 4096, 8 << 20, 8192
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -195,29 +197,78 @@ def matched_spans(spans: DataFrame, length: int, seed: int) -> DataFrame:
     return spans.groupBy("bucket").applyInArrow(run, "a long, t long, cover array<struct<b:int,e:int>>")
 
 
+def short_hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def halves(spans: DataFrame, length: int) -> DataFrame:
+    """spans: a, t, o, lo, hi, span; their windows have lo to hi bytes before the anchor. Gives the same of each half that has
+    windows, with the seed and span it came from (a0, t0) and its begin in that span (at)."""
+    names = ["a0", "t0", "at", "a", "t", "o", "lo", "hi", "span"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a0, t0, o, lo, hi, span in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                for l, h in ((lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)):
+                    least, most = max(l, o - len(span) + length), min(h, o)
+                    if least <= most:
+                        part, core = span[o - most : o - least + length], span[o - l : o + length - h]
+                        own = b"%d %d " % (l, h)
+                        rows.append((a0, t0, o - most, short_hash(own, core), short_hash(b"%d " % most, part), most, l, h, part))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return spans.select("a", "t", "o", "lo", "hi", "span").mapInArrow(run, "a0 long, t0 long, at int, a long, t long, o int, lo int, hi int, span binary")
+
+
+def partial_covers(spans: DataFrame, facts: DataFrame, length: int, seed: int) -> DataFrame:
+    """spans: a, t, o, lo, hi, span, one row for each different span of a seed; facts: the same rows, a and size in bytes.
+    Gives a, t, cover: the byte ranges of the span that are duplicates; a span may have several rows."""
+    spark = spans.sparkSession
+    hot = facts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("a")
+    some = bool(hot.limit(1).count())
+    if some:
+        hot = written(hot, "hot")
+        facts = facts.join(hot, "a", "left_anti")
+    buckets = max(1, -(-int(facts.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+    cool = spans.join(hot, "a", "left_anti") if some else spans
+    found = written(matched_spans(cool.select(F.pmod("a", F.lit(buckets)).alias("bucket"), "a", "t", "o", "span"), length, seed), "matches")
+    release(spark)
+    if not some:
+        return found
+    parts = written(halves(spans.join(hot, "a", "left_semi"), length), "halves")
+    own = parts.groupBy("a", "t").agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("o", "lo", "hi", "span")))
+    own = written(own, "spans")
+    several = own.join(own.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a"), "a", "left_semi")
+    inner = partial_covers(several, several.select("a", F.length("span").alias("size")), length, seed)
+    whole = own.where("times > 1").select("a", "t", F.array(F.struct(F.lit(0).alias("b"), F.length("span").alias("e"))).alias("cover"))
+    back = parts.select("a0", "t0", "at", "a", "t").join(whole.unionByName(inner), ["a", "t"])
+    moved = F.transform("cover", lambda c: F.struct((c["b"] + F.col("at")).alias("b"), (c["e"] + F.col("at")).alias("e")))
+    return found.unionByName(back.select(F.col("a0").alias("a"), F.col("t0").alias("t"), moved.alias("cover")))
+
+
 def duplicate_ranges(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """rid and spans (array<struct<b, e>> of byte ranges, in any order, possibly overlapping) of each text with duplicates."""
     spark = docs.sparkSession
-    found = written(anchors(docs, length, seed), "anchors")
-    variants = found.groupBy("a", "t").agg(F.count(F.lit(1)).alias("times"), F.min("rid").alias("rid"), F.min_by("s", "rid").alias("s"), F.first("n").alias("n"), F.first("o").alias("o"))
-    of_seed = Window.partitionBy("a")
-    variants = variants.withColumns({"kinds": F.count(F.lit(1)).over(of_seed), "all": F.sum("times").over(of_seed)}).where(F.col("all") > 1)
-    variants = written(variants.drop("all"), "variants")
+    every = written(anchors(docs, length, seed), "anchors")
+    seeds = every.groupBy("a").agg(F.count(F.lit(1)).alias("all"), (F.min("t") < F.max("t")).alias("several")).where(F.col("all") > 1)
+    found = written(every.join(seeds.select("a", "several").hint("merge"), "a"), "repeats")
     release(spark)
-    several = variants.where("kinds > 1")
-    size = several.agg(F.sum(F.col("n") + length)).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    drop(every)
+    variants = found.groupBy("a", "t").agg(F.count(F.lit(1)).alias("times"), F.min("rid").alias("rid"), F.min_by("s", "rid").alias("s"), *(F.first(c).alias(c) for c in ("n", "o", "several")))
+    variants = written(variants, "variants")
+    several = variants.where("several")
     cut = F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), (F.col("s") + 1).cast("int"), F.col("n") + length - 1)
-    texts = several.hint("merge").join(docs.select("rid", "text"), "rid").select(F.pmod("a", F.lit(buckets)).alias("bucket"), "a", "t", "o", cut.alias("span"))
-    partial = written(matched_spans(texts, length, seed), "matches")
-    release(spark)
+    texts = several.hint("merge").join(docs.select("rid", "text"), "rid").select("a", "t", "o", F.lit(0).alias("lo"), F.lit(length - seed).alias("hi"), cut.alias("span"))
+    partial = partial_covers(texts, several.select("a", (F.col("n") + length).alias("size")), length, seed)
     whole = F.array(F.struct(F.lit(0).alias("b"), (F.col("n") + length - 1).alias("e")))
     covered = variants.where("times > 1").select("a", "t", whole.alias("cover"))
     once = variants.where("times = 1").select("a", "t").join(partial, ["a", "t"])
     hits = found.join(covered.unionByName(once).hint("merge"), ["a", "t"]).select("rid", F.transform("cover", lambda c: F.struct((c["b"] + F.col("s")).alias("b"), (c["e"] + F.col("s")).alias("e"))).alias("cover"))
     out = written(hits.groupBy("rid").agg(F.flatten(F.collect_list("cover")).alias("spans")), "ranges")
     release(spark)
-    for df in (found, variants, partial):
+    for df in (found, variants):
         drop(df)
     return out
 

@@ -111,6 +111,20 @@ def test_suffix_dedup(spark, docs, length, seed, batch, monkeypatch):
     assert [tuple(r)[2:] for r in got] == brute_removed([r["text"] for r in rows], length)
 
 
+def test_suffix_dedup_splits_hot_seeds(spark, monkeypatch):
+    """Stretches that very many texts share in different surroundings, longer and shorter than the matches."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared = [letters(n) for n in (30, 35, 39, 40, 44, 70)]
+    texts = [letters(60) + shared[i % 6] + (letters(60) if i % 4 else letters(20) + shared[(i + 1) % 6] * 2) for i in range(60)]
+    ends = [letters(n) for n in (3, 9, 15)]
+    texts += [letters(50) + ends[i % 3] + shared[0] + ends[i // 3 % 3] + letters(50) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.cut_duplicates(df, 40, 10).orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in got] == brute_removed(texts, 40)
+
+
 def test_suffix_dedup_family_and_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     text = bytes(rng.integers(97, 100, 3000, dtype=np.uint8)) + b"ab" * 300
