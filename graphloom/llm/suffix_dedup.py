@@ -253,9 +253,11 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     spark = docs.sparkSession
     every = written(anchors(docs, length, seed), "anchors")
     seeds = every.groupBy("a").agg(F.count(F.lit(1)).alias("all"), (F.min("t") < F.max("t")).alias("several")).where(F.col("all") > 1)
-    found = written(every.join(seeds.select("a", "several").hint("merge"), "a"), "repeats")
+    seeds = written(seeds.select("a", "several"), "seeds")
+    found = written(every.join(seeds.hint("merge"), "a"), "repeats")
     release(spark)
     drop(every)
+    drop(seeds)
     variants = found.groupBy("a", "t").agg(F.count(F.lit(1)).alias("times"), F.min("rid").alias("rid"), F.min_by("s", "rid").alias("s"), *(F.first(c).alias(c) for c in ("n", "o", "several")))
     variants = written(variants, "variants")
     several = variants.where("several")
