@@ -1,4 +1,5 @@
-"""Connected components by alternating large and small stars; every round is a table in the shared folder."""
+"""Connected components by alternating large and small stars, until only stars are left; every round is a table in the
+shared folder."""
 
 from __future__ import annotations
 
@@ -16,22 +17,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round maps a node's neighbours to the smallest of them; the stars it ends in are the components. A hot node is
     pre-aggregated by min() and its join is split by adaptive execution; no group is gathered."""
     now = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct(), "edges")
-    last = None
     for _ in range(MOST_ROUNDS):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if state == last:
+        if all_stars(now):
             break
-        last = state
-        for star in (large_star, small_star):
-            done = written(star(now), "edges")
-            drop(now)
-            now = done
+        done = written(small_star(large_star(now)), "edges")
+        drop(now)
+        now = done
     else:
         raise RuntimeError("the components did not settle")
     lows = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(lows)
 
 
+def all_stars(e: DataFrame) -> bool:
+    """Whether every node is either the smallest of its edges or the larger end of a single one."""
+    ends = e.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")).unionByName(e.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")))
+    ups, downs = F.sum("up"), F.max("down")
+    return ends.groupBy("u").agg(ups.alias("ups"), downs.alias("downs")).where("ups > 1 or (ups > 0 and downs > 0)").isEmpty()
+
+
 def large_star(e: DataFrame) -> DataFrame:
     """Larger neighbours of a node go to the smallest node of its neighbourhood."""
     both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))

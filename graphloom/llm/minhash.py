@@ -148,7 +148,8 @@ def parts_of(linked: np.ndarray) -> np.ndarray:
 
 
 def confirm_blocks(members: DataFrame, k: int, similar: int) -> DataFrame:
-    """members: block, block2, cid, text. Gives cid, center: links along which each part of a block hangs together."""
+    """members: block, block2, cid, text. Gives cid, low, center: the smallest class of the part of a
+    block, along its links, and the one with most links."""
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("cid").to_numpy())
@@ -162,9 +163,9 @@ def confirm_blocks(members: DataFrame, k: int, similar: int) -> DataFrame:
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             center[own] = own[np.argmax(degree[own])]
-        return pa.table({"cid": ids, "center": ids[center]})
+        return pa.table({"cid": ids, "low": ids[part], "center": ids[center]})
 
-    return members.groupBy("block", "block2").applyInArrow(run, "cid long, center long")
+    return members.groupBy("block", "block2").applyInArrow(run, "cid long, low long, center long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block: int = BLOCK, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
         return again.unionByName(found.where("doc_id is null"))
     sig = written(sketch(docs, k, permutations, rows), "sketch")
     named = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cid"))
+    classes = written(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cid")), "classes")
     banded = named.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("cid"), "bands", "short")
     entries = banded.select("cid", F.explode("bands").alias("key"))
     least = entries.groupBy("key").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
         edges = edges.unionByName(more)
     if apart:
         edges = edges.unionByName(across(edges, clusters, banded, members, k, similar, block))
-    parts = components(edges, "center", "cid")
+    parts = components(edges, "low", "cid")
     result = named.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.coalesce("component", "cid").alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(result, "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
@@ -247,8 +248,8 @@ def estimated_links(rows: DataFrame, similar: int, sigmas: float = SIGMAS) -> Da
 
 
 def across(edges: DataFrame, clusters: DataFrame, banded: DataFrame, members: DataFrame, k: int, similar: int, block: int) -> DataFrame:
-    """Links (cid, center) between parts of clusters that did not fit one block; each task gives at most a row for each member."""
-    parts = components(edges, "center", "cid").withColumnRenamed("node", "cid")
+    """What confirm_blocks gives for parts of clusters that did not fit one block; each task gives at most a row for each member."""
+    parts = components(edges, "low", "cid").withColumnRenamed("node", "cid")
     large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster")
     here = clusters.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", F.coalesce("component", "cid").alias("part"))
     held = written(banded.join(here, "cid").select("cid", "part", F.explode("bands").alias("key")), "held")
