@@ -253,3 +253,88 @@ def escaping_types(f):
 @query(f", {_ESCAPE} select n.usr, (n.usr in (select usr from escaping))::int as might_throw from names n")
 def might_throw(f):
     return throws.might_throw(f.names(), _escaping(f)).select("usr", F.col("might_throw").cast("int").alias("might_throw"))
+
+
+@query("select o_orderkey as filepath_id, case when o_orderkey % 10 = 0 then 'moved/c' else 'src/c' end || o_custkey || '.cc' as filepath from orders")
+def file_upsert(f):
+    moved = f.filepaths().where(F.col("filepath_id") % 10 == 0).withColumn("filepath", F.regexp_replace("filepath", "^src", "moved"))
+    return ingest.upserted(f.filepaths(), moved).select("filepath_id", "filepath")
+
+
+@query("""select 'tu' || l_suppkey as tu, count(*) as n from lineitem where l_suppkey % 10 <> 0
+ and l_suppkey not in (select l_suppkey from lineitem where l_suppkey % 7 = 0 and l_linenumber = 1) group by 1""")
+def usable_units(f):
+    error = (F.col("l_suppkey") % 7 == 0) & (F.col("l_linenumber") == 1)
+    said = f.table("lineitem").select(F.concat(F.lit("tu"), F.col("l_suppkey")).alias("tu"), F.when(error, "error").otherwise("warning").alias("level"))
+    return ingest.usable_units(f.occurrences(), said).groupBy("tu").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select count(distinct l_suppkey) as total, count(distinct case when l_suppkey % 10 <> 0 then l_suppkey end) as succeeded from lineitem")
+def unit_counters(f):
+    return f.occurrences().agg(F.countDistinct("tu").alias("total"), F.countDistinct(F.when(F.col("tu_ok"), F.col("tu"))).alias("succeeded"))
+
+
+@query(f"; select func_def_id from func_definitions where usr = '{SOURCE_USR}'")
+def definition_id(f):
+    return onehop.definition_ids(f.func_definitions(), SOURCE_USR)
+
+
+@query(f"; select usr, qualified, caller_might_throw::int as caller_might_throw from func_calls where caller_usr = '{SOURCE_USR}'")
+def calls_with_throw(f):
+    return onehop.calls_with_throw(f.func_calls(ids=False), SOURCE_USR).withColumn("caller_might_throw", F.col("caller_might_throw").cast("int"))
+
+
+_FIRST_THROWERS = "firsts as (select caller_usr as usr from func_calls group by caller_usr having arg_min(caller_might_throw, func_call_id))"
+
+
+@query(f", {_FIRST_THROWERS} select usr from firsts")
+def first_row_throwers(f):
+    return paths.throwers(f.func_definitions(), f.func_calls(), compat=True)
+
+
+@query(f""", {_DIST}, {_BACK}, {_FIRST_THROWERS},
+goal as (select n, d from near join firsts on usr = n order by d, n limit 1),
+walk(usr, step) as (select n, d from goal union all select par.p, step - 1 from walk join par on par.n = walk.usr where step > 0)
+select step::int as step, usr from walk""")
+def throw_path_compat(f):
+    return paths.throw_path(f.func_definitions(), f.func_calls(), _source_name(f), compat=True).select("step", "usr")
+
+
+@query(f", {_DIST} select n as usr, repeat('    ', d::int) || n as line from near")
+def call_trace(f):
+    found = paths.reachable(f.func_definitions(), f.func_calls(ids=False), _source_name(f))
+    return found.select("usr", F.concat(scalars.indent(F.col("hops")), F.col("usr")).alias("line"))
+
+
+@query("""with t as (select n_nationkey as k, case n_nationkey % 4 when 0 then 'std::bad_alloc' when 1 then 'ns::AssertionError' when 2 then 'AssertionErrors' else 'N' || n_nationkey end as type from nation)
+select 'c:@F@p' || k as usr, type from t where k % 4 > 1""")
+def ignored_exceptions(f):
+    k = F.col("n_nationkey") % 4
+    kind = F.when(k == 0, "std::bad_alloc").when(k == 1, "ns::AssertionError").when(k == 2, "AssertionErrors").otherwise(F.concat(F.lit("N"), F.col("n_nationkey")))
+    return throws.not_ignored(f.table("nation").select(F.concat(F.lit("c:@F@p"), F.col("n_nationkey")).alias("usr"), kind.alias("type")))
+
+
+@query(f""", {_ESCAPE}, listed as (select usr, string_agg(type, ',' order by type) as types from (select distinct usr, type from escaping) group by usr),
+blind as (select 'c:@F@p' || p_partkey as usr from part where p_size > 40)
+select n.usr, case when l.usr is not null then 'Throwing' when b.usr is not null then 'Unknown' else 'NotThrowing' end as behaviour, (b.usr is not null)::int as contains_unknown, coalesce(l.types, '') as types
+from names n left join listed l on l.usr = n.usr left join blind b on b.usr = n.usr""")
+def exception_summary(f):
+    blind = f.table("part").where("p_size > 40").select(F.concat(F.lit("c:@F@p"), F.col("p_partkey")).alias("usr"))
+    found = throws.summaries(f.names(), _escaping(f), blind)
+    return found.select("usr", "behaviour", F.col("contains_unknown").cast("int").alias("contains_unknown"), F.array_join("types", ",").alias("types"))
+
+
+@query("""select p_partkey, starts_with(p_name, 'a')::int as starts, ends_with(p_name, 'e')::int as ends, replace(p_brand, '#', '|') as parts,
+ replace(p_name, 'e', '<e>') as replaced, p_partkey::bigint * 86399 as seconds, (p_partkey % 2 = 0)::int as macro from part""")
+def string_functions(f):
+    name = F.col("p_name")
+    usr = F.when(F.col("p_partkey") % 2 == 0, scalars.macro_key(name)).otherwise(name)
+    return f.table("part").select(
+        "p_partkey",
+        scalars.starts_with(name, "a").cast("int").alias("starts"),
+        scalars.ends_with(name, "e").cast("int").alias("ends"),
+        F.array_join(scalars.split_parts(F.concat("p_brand", F.lit("#")), "#"), "|").alias("parts"),
+        scalars.replace_all(name, "e", "<e>").alias("replaced"),
+        scalars.to_epoch(scalars.from_epoch(F.col("p_partkey").cast("long") * 86399)).alias("seconds"),
+        scalars.is_macro(usr).cast("int").alias("macro"),
+    )
