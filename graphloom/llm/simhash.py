@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import read, words
+from graphloom.llm.common import let, read, words
 
 SHINGLE, BITS, BLOCKS = 5, 128, 5
-ROWS_PER_RANGE, MOST_RANGES = 5_000, 1_000
+ROWS_PER_RANGE, MOST_RANGES, STRIDE = 5_000, 100_000, 300
 _PAIR = (1 << 32) | 1
 
 
@@ -80,23 +80,33 @@ def within(queries: DataFrame, against: DataFrame, radius: int = 3) -> DataFrame
     return pairs.where(F.col("distance") <= radius).distinct()
 
 
+def constant(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds lie below a value: a look at each STRIDE-th bound, then at those in between."""
+    every, some = constant(bounds, "bigint"), constant(bounds[STRIDE - 1 :: STRIDE], "bigint")
+    below = lambda b: F.size(F.filter(b, lambda x: x < value))
+    return let(below(some) * STRIDE, lambda skip: skip + below(F.slice(every, skip + 1, F.lit(STRIDE))))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_text: the text of the document that follows by ascending id, of the last the first's. Ids are dealt into
     ranges of about equal counts (_range), whose rows are numbered (_at). Each range also gets a copy (_own is false) of the
     first row of the next range, so only a range's rows meet in one task. MOST_RANGES + 1 ids at most go to the driver."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = min(MOST_RANGES, docs.count() // ROWS_PER_RANGE) + 1
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("b")).first()["b"] if n > 1 else []
-    limits = F.from_json(F.lit(json.dumps(sorted(set(bounds or [])))), "array<bigint>")
-    dealt = docs.withColumn("_range", F.coalesce(F.size(F.filter(limits, lambda b: b < F.col("doc_id"))), F.lit(0)))
+    shares = constant([k / n for k in range(1, n)], "double")
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * n)).alias("b")).first()["b"] if n > 1 else []
+    dealt = docs.withColumn("_range", range_of(F.col("doc_id"), sorted(set(bounds or []))))
     least = dealt.groupBy("_range").agg(F.min(F.struct("doc_id")).alias("m")).collect()
-    least = sorted((r["_range"], r["m"]["doc_id"]) for r in least)
-    before = F.lit(None).cast("int")
-    if least:
-        into = {r: least[k - 1][0] for k, (r, _) in enumerate(least)}
-        before = F.get(F.from_json(F.lit(json.dumps([into.get(r, 0) for r in range(least[-1][0] + 1)])), "array<int>"), F.col("_range"))
-    ids = [i for _, i in least if i is not None]
-    firsts = dealt.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("_range").agg(F.min(F.struct("doc_id", "text")).alias("m"))
+    least = dict(sorted((r["_range"], r["m"]["doc_id"]) for r in least))
+    places = range(max(least, default=-1) + 1)
+    into = dict(zip(least, [max(least, default=0), *least], strict=False))  # the range before, of the first the last
+    starts = F.get(constant([least.get(r) for r in places], "bigint"), F.col("_range"))
+    firsts = dealt.where(F.col("doc_id").eqNullSafe(starts)).groupBy("_range").agg(F.min(F.struct("doc_id", "text")).alias("m"))
+    before = F.get(constant([into.get(r, 0) for r in places], "int"), F.col("_range"))
     copies = firsts.select(F.col("m.doc_id").alias("doc_id"), F.col("m.text").alias("text"), before.alias("_range"), F.lit(False).alias("_own"))
     w = Window.partitionBy("_range").orderBy(F.desc("_own"), "doc_id", "text")
     both = dealt.withColumn("_own", F.lit(True)).unionByName(copies)

@@ -181,6 +181,13 @@ def test_simhash_ranges(spark, docs, monkeypatch):
     assert [r["next_text"] for r in whole] == texts[1:] + texts[:1]
 
 
+def test_simhash_range_lookup(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "STRIDE", 3)
+    for bounds in ([], [5], [2, 4, 6], [1, 2, 3, 5, 8, 13, 21]):
+        rows = spark.createDataFrame([(i,) for i in (None, *range(-2, 25))], "doc_id long").withColumn("r", simhash.range_of(F.col("doc_id"), bounds)).collect()
+        assert all(r["r"] == sum(b < r["doc_id"] for b in bounds if r["doc_id"] is not None) for r in rows)
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1", "https://WWW.example.com/en/x?q", "http://b.net/es/", "http://b.net/en/", "ftp://x.org", "no url", "", None, "http://q.com?x/", "http://notexample.com/en/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit(1))
