@@ -14,6 +14,9 @@ from graphloom.llm.common import read, shared_root, with_row_ids
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: A repeated run of so many words is a passage.
+PASSAGE = 51
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -28,8 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that the corpus holds more than once; texts of which nothing is left go."""
-    cut = suffix_dedup.cut_duplicates(docs.select(*COLUMNS))
+    """Texts without the passages that the corpus holds more than once, of over 50 words or of 400 bytes or more; texts of which
+    nothing is left go."""
+    cut = suffix_dedup.cut_duplicates(docs.select(*COLUMNS), words=PASSAGE)
     return cut.where((F.length("text") > 0) | (F.col("n_removed") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

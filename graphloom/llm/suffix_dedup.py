@@ -17,6 +17,10 @@ anchor answers for the run of windows that chose it.
    treated like spans of that seed, and split again while it is hot. A half of one window has nothing but copies.
 3. Each span's duplicate windows go back to all its anchors, and each document's bytes are cut.
 
+``word_runs`` does the same for runs of words, whatever white space is between them: anchors are chosen among runs of WORD_SEED
+words, and of the spans of repeated seeds all windows are compared by hash. ``cut_duplicates`` cuts these runs too when ``words``
+is given (the pipeline; op5 is about bytes only).
+
 Defined cases: a null text is an empty text; texts shorter than LENGTH bytes keep all their bytes; matches never cross
 documents, but may lie, also overlapping, within one; rows that share an id or have none are documents of their own; an empty
 table gives none. Only the id and text columns are read. A text of any length is worked through in pieces of PIECE windows.
@@ -32,9 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, with_row_ids, written
+from graphloom.llm.common import Prefix, batches_of, chunks, drop, mix, powers, read, release, text_bytes, tokens, with_row_ids, written
 
 LENGTH, SEED, PIECE, BATCH, BUCKET_BYTES, HOT = 400, 100, 1 << 20, 4096, 8 << 20, 8192
+WORD_SEED, SALTS = 13, 16
+
+
+class Sums(Prefix):
+    """Hashes of any runs of numbers."""
+
+    def __init__(self, values: np.ndarray):
+        self.pow, self.inv = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix(values) * self.pow[: len(values)], out=self.sums[1:])
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -48,12 +62,12 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors_in(data: np.ndarray, starts: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
+def anchors_in(data: np.ndarray, starts: np.ndarray, length: int, seed: int, kind: type[Prefix] = Prefix) -> tuple[np.ndarray, ...]:
     """For texts one behind the other: text number, first window, windows, offset of the anchor in the first, seed hash, span hash."""
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    prefix = Prefix(data)
+    prefix = kind(data)
     h = (prefix.sums[seed:] - prefix.sums[:-seed]) * prefix.inv[: len(data) - seed + 1]
     low = np.uint64((1 << len(data).bit_length()) - 1)
     best = sliding_min((mix(h) & ~low) | np.arange(len(h), dtype=np.uint64), length - seed + 1)
@@ -78,25 +92,40 @@ def anchors_in(data: np.ndarray, starts: np.ndarray, length: int, seed: int) ->
     return own, first - starts[own], last - first + 1, offset, a.view(np.int64), t.view(np.int64)
 
 
-def anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """rid, s (first window), n (windows), o (offset of the anchor in the first window), a (seed hash), t (span hash)."""
+def pieces(data: np.ndarray, starts: np.ndarray, i: int, j: int, length: int):
+    """Of texts i to j: first text, place of the piece in it, and the data and starts of the piece."""
+    if starts[j] - starts[i] <= PIECE + length:
+        yield i, 0, data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
+        return
+    for k in range(i, j):
+        for s in range(0, int(starts[k + 1] - starts[k]) - length + 1, PIECE):  # one long text
+            e = min(int(starts[k + 1]), int(starts[k]) + s + PIECE + length - 1)
+            yield k, s, data[starts[k] + s : e], np.array([0, e - int(starts[k]) - s])
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts one behind the other, and the first word of each text (and the end)."""
+    begin, end, first = tokens(data, starts)
+    h, i = np.zeros(len(begin), np.uint64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + PIECE, "right")))
+        h[i:j] = Prefix(data[begin[i] : end[j - 1]]).of(begin[i:j] - begin[i], end[i:j] - begin[i])
+        i = j
+    return h, first
 
-    def pieces(data, starts, i, j):
-        if starts[j] - starts[i] <= PIECE + length:
-            yield i, 0, data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
-            return
-        for s in range(0, int(starts[j] - starts[i]) - length + 1, PIECE):  # one long text
-            e = min(int(starts[j]), int(starts[i]) + s + PIECE + length - 1)
-            yield i, s, data[starts[i] + s : e], np.array([0, e - int(starts[i]) - s])
+
+def anchors(docs: DataFrame, length: int, seed: int, words: bool = False) -> DataFrame:
+    """rid, s (first window), n (windows), o (offset of the anchor in the first window), a (seed hash), t (span hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, starts = text_bytes(batch.column(1))
             for i, j in chunks(starts):
-                for base, at, part, cut in pieces(data, starts, i, j):
-                    own, s, n, o, a, t = anchors_in(part, cut, length, seed)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[base + own], pa.int64()), pa.array(s + at, pa.int64()), pa.array(n, pa.int32()), pa.array(o, pa.int32()), pa.array(a), pa.array(t)], ["rid", "s", "n", "o", "a", "t"])
+                units, first = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]) if words else (data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+                for base, at, part, cut in pieces(units, first, 0, j - i, length):
+                    own, s, n, o, a, t = anchors_in(part, cut, length, seed, Sums if words else Prefix)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + base + own], pa.int64()), pa.array(s + at, pa.int64()), pa.array(n, pa.int32()), pa.array(o, pa.int32()), pa.array(a), pa.array(t)], ["rid", "s", "n", "o", "a", "t"])
 
     batches_of(docs.sparkSession)
     return docs.select("rid", "text").mapInArrow(run, "rid long, s long, n int, o int, a long, t long")
@@ -275,6 +304,52 @@ def duplicate_ranges(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     return out
 
 
+def repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows (with column rid) whose keys occur more than once; a hot key is dealt to SALTS joins."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
+    some = salted.groupBy(*keys, "salt").agg(F.count(F.lit(1)).alias("times")).groupBy(*keys).agg(F.sum("times").alias("times"), F.collect_list("salt").alias("salts"))
+    some = some.where("times > 1").select(*keys, F.explode("salts").alias("salt"))
+    return salted.join(some.hint("merge"), [*keys, "salt"]).drop("salt")
+
+
+def word_windows(spans: DataFrame, length: int) -> DataFrame:
+    """spans: rid, text, parts (array of s, n, a). Gives rid, s, a, h: each window of the spans with its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = text_bytes(batch.column(1))
+            for k, (rid, parts) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                h, _ = word_hashes(data[starts[k] : starts[k + 1]], np.array([0, starts[k + 1] - starts[k]]))
+                n = np.array([p["n"] for p in parts])
+                s = np.repeat([p["s"] for p in parts], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                sums = Sums(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rid), pa.int64()), pa.array(s, pa.int64()), pa.array(np.repeat(np.array([p["a"] for p in parts], np.int64), n)), pa.array(sums.of(s, s + length).view(np.int64))], ["rid", "s", "a", "h"])
+
+    return spans.select("rid", "text", "parts").mapInArrow(run, "rid long, s long, a long, h long")
+
+
+def word_runs(docs: DataFrame, length: int, seed: int = WORD_SEED) -> DataFrame:
+    """rid and runs (array<struct<b, e>> of ranges of words, in any order, possibly overlapping) of each text with runs of length
+    words that start anywhere else too."""
+    spark = docs.sparkSession
+    every = written(anchors(docs, length, min(seed, length), words=True), "anchors")
+    found = written(repeated(every, "a"), "repeats")
+    release(spark)
+    drop(every)
+    whole = repeated(found, "a", "t").select("rid", "s", "n")
+    first = F.min(F.struct("rid", "s", "n"))
+    variants = written(found.groupBy("a", "t").agg(first.alias("v")).select("a", "t", "v.*"), "variants")
+    several = repeated(variants, "a").groupBy("rid").agg(F.collect_list(F.struct("s", "n", "a")).alias("parts"))
+    windows = written(word_windows(several.hint("merge").join(docs.select("rid", "text"), "rid"), length), "windows")
+    hits = repeated(windows, "a", "h").select("rid", "s", F.lit(1).alias("n"))
+    span = F.struct(F.col("s").alias("b"), (F.col("s") + F.col("n") + length - 1).alias("e"))
+    out = written(whole.unionByName(hits).groupBy("rid").agg(F.collect_list(span).alias("runs")), "runs")
+    release(spark)
+    for df in (found, variants, windows):
+        drop(df)
+    return out
+
+
 def merged(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for b, e in sorted(spans):
@@ -285,13 +360,15 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED, words: int | None = None) -> DataFrame:
     """All columns of docs, text replaced by what remains of it, with n_bytes, n_removed, n_spans, kept_sha256. The hash is
-    that of the remaining bytes; in the text, characters of which some bytes went are dropped."""
-    own = ("rid", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    that of the remaining bytes; in the text, characters of which some bytes went are dropped. With words, runs of so many words
+    that start anywhere else too are cut as well."""
+    own = ("rid", "spans", "runs", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     rows = with_row_ids(docs.drop(*own))
-    both = rows.join(duplicate_ranges(rows, length, seed).hint("merge"), "rid", "left").drop("rid")
-    names = [c for c in both.columns if c != "spans"]
+    both = rows.join(duplicate_ranges(rows, length, seed).hint("merge"), "rid", "left")
+    both = (both.join(word_runs(rows, words).hint("merge"), "rid", "left") if words else both).drop("rid")
+    names = [c for c in both.columns if c not in ("spans", "runs")]
     place = {c: both.columns.index(c) for c in both.columns}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*names).schema) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -299,9 +376,14 @@ def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
         for batch in batches:
             data, starts = text_bytes(batch.column(place["text"]))
             texts, facts = [], []
-            for i, spans in enumerate(batch.column(place["spans"]).to_pylist()):
+            runs = batch.column(place["runs"]).to_pylist() if words else [None] * batch.num_rows
+            for i, (spans, more) in enumerate(zip(batch.column(place["spans"]).to_pylist(), runs, strict=True)):
                 raw = data[starts[i] : starts[i + 1]].tobytes()
-                ranges = merged((s["b"], s["e"]) for s in spans or ())
+                ranges = [(s["b"], s["e"]) for s in spans or ()]
+                if more:
+                    begin, end, _ = tokens(data[starts[i] : starts[i + 1]], np.array([0, len(raw)]))
+                    ranges += [(int(begin[b]), int(end[e - 1])) for b, e in merged((s["b"], s["e"]) for s in more)]
+                ranges = merged(ranges)
                 kept, last = [], 0
                 for b, e in ranges:
                     kept.append(raw[last:b])

@@ -1,10 +1,12 @@
 """The stages of the pipeline, each judged on its own input."""
 
+import re
 import sys
 from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline as pipeline
+import numpy as np
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_operators import WORD, brute_groups, brute_removed  # noqa: E402
@@ -38,3 +40,49 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "round_trip"]
+
+
+def test_suffix_stage_cuts_passages_of_51_words(spark):
+    """Runs of over 50 words that repeat, of less than 400 bytes, also with other white space between; 50 words stay."""
+    rng = np.random.default_rng(7)
+    words = lambda n: ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(n)]
+    passages = [words(n) for n in (51, 51, 60, 50)]
+    texts = [" ".join([*words(20 + i), *passages[i % 4], *words(9)]) for i in range(8)]
+    texts += [" ".join(words(5)) + " " + "\n".join(passages[1]), " ".join(passages[0][:30] + words(40)), " ".join(words(80))]
+    ever = Counter(tuple(w[i : i + 51]) for t in texts for w in [t.split()] for i in range(len(w) - 50))
+    want = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        gone = {i + d for i in range(len(w) - 50) if ever[tuple(w[i : i + 51])] > 1 for d in range(51)}
+        want[k] = [x for i, x in enumerate(w) if i not in gone]
+    assert sum(len(w) < len(t.split()) for w, t in zip(want.values(), texts, strict=True)) == 7
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"].split() for r in pipeline.suffix_array_dedup(spark, df, SF).collect()}
+    assert got == want
+
+
+def test_suffix_stage_on_documents(spark):
+    """Exactly the bytes of repeated 400-byte strings and of repeated runs of 51 words go, with the white space in and between these."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    rows = df.orderBy("doc_id").collect()
+    raw = [r["text"].encode() for r in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    words = [[b[x:y] for x, y in at] for b, at in zip(raw, spans, strict=True)]
+    ever = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    strings = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    want, by_words = {}, 0
+    for r, b, at, w in zip(rows, raw, spans, words, strict=True):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 399):
+            if strings[b[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        before = gone.sum()
+        cut = {i + d for i in range(len(w) - 50) if ever[tuple(w[i : i + 51])] > 1 for d in range(51)}
+        for i in cut:
+            gone[at[i][0] : at[i + 1][0] if i + 1 in cut else at[i][1]] = True
+        by_words += int(gone.sum() > before)
+        left = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        if left or not gone.any():
+            want[r["doc_id"]] = left
+    assert by_words
+    assert {r["doc_id"]: r["text"] for r in pipeline.suffix_array_dedup(spark, df, SF).collect()} == want
