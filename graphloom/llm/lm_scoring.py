@@ -1,18 +1,20 @@
 """LM scoring by cross-entropy difference.
 
 Two matched bigram models, one of trusted target documents and one of the whole corpus as background, share one vocabulary
-(the VOCABULARY most frequent words of the corpus, every other word is one unknown word), their smoothing and their tables.
-A token's loss under a model is ``-ln p``, with ``p(b | a) = (n(a b) + BACKOFF * p(b)) / (n(a) + BACKOFF)`` and
-``p(b) = (n(b) + 1) / (N + words of the vocabulary + 1)``. A document's score is the mean over its tokens of the target's loss
-minus the background's: the lower, the more it is like the target.
+(all words of the corpus) and their smoothing. A token's loss under a model is ``-ln p``, with
+``p(b | a) = (n(a b) + BACKOFF * p(b)) / (n(a) + BACKOFF)`` and ``p(b) = (n(b) + 1) / (N + words of the vocabulary + 1)``.
+A document's score is the mean over its tokens of the target's loss minus the background's: the lower, the more it is like the
+target.
 
-Counts are of all documents. Vocabulary and word pairs are counted in each task, then summed by key; pairs are hashed into
-2**PAIR_BITS counters, so what reaches the driver and the tasks has a fixed bound (about 20 MB) at any size of the corpus.
-The target is the documents labelled good; of more than quality.TRUSTED labels the first by hash (a bound on what is fitted).
+Counts are of all documents and all words and pairs, in tables keyed by 64-bit word hashes that grow with the corpus; only
+totals reach the driver. Pairs are counted in each task, then summed by key; words and contexts are sums of these. Each pair's two
+losses are joined to the documents' pairs. Keys that make up more than 1/HOT of a join's rows are joined by broadcast (HOT of
+them at most), so that none of them meets in one task. The target is every document labelled good.
 
 Defined cases: null and blank texts have no tokens and null losses and score; without target documents both models are
-the same and scores are 0; equally frequent words enter the vocabulary by hash; repeated rows count and are scored each; a
-null id is no target; an empty table gives none. Only the id and text columns are read. A-Z are lower-cased.
+the same and scores are 0; repeated rows count and are scored each; a null id is no target; an empty table gives none. Only the
+id and text columns are read. A-Z are lower-cased. ``most`` limits the vocabulary (further words are one unknown word; equally
+frequent words enter by hash) and ``bits`` hashes pairs into 2**bits shared counters; the query uses neither.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, mix, read, text_bytes, tokens
-from graphloom.llm.quality import trusted_ids
+from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, tokens, with_row_ids, written
 
-VOCABULARY, PAIR_BITS, BACKOFF, CHUNK = 1 << 14, 20, 20.0, 4 << 20
+BACKOFF, CHUNK, HOT = 20.0, 4 << 20, 1 << 14
+UNKNOWN, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,27 +43,20 @@ def parts(batches: Iterator[pa.RecordBatch]):
         data, starts = text_bytes(batch.column(1))
         for i, j in chunks(starts, CHUNK):
             h, first = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-            yield batch.column(0).slice(i, j - i), h, first
+            yield batch.slice(i, j - i), h, first
 
 
-def word_ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the sorted vocabulary; its length stands for any other word."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at, len(vocabulary))
+def pairs_of(h: np.ndarray, first: np.ndarray, vocabulary: np.ndarray | None, bits: int | None) -> tuple[np.ndarray, ...]:
+    """For each token the word before it (START at the start of a text), the word, and the key of both."""
+    if vocabulary is not None:
+        h = np.where(np.isin(h, vocabulary), h, UNKNOWN)
+    before = np.concatenate(([START], h[:-1]))[: len(h)]
+    before[first[:-1][first[:-1] < first[1:]]] = START
+    key = mix(mix(before) + h)
+    return before, h, key >> np.uint64(64 - bits) if bits else key
 
 
-def pair_keys(w: np.ndarray, first: np.ndarray, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the word before it (one above the unknown word at the start of a text), and the pair's counter."""
-    before = np.concatenate(([0], w[:-1])) if len(w) else w
-    if len(w):
-        begins = first[:-1][first[:-1] < first[1:]]
-        before[begins] = len(vocabulary) + 1
-    return before, (mix((before * (len(vocabulary) + 2) + w).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def build_vocabulary(docs: DataFrame, most: int = VOCABULARY) -> np.ndarray:
+def build_vocabulary(docs: DataFrame, most: int) -> np.ndarray:
     def run(batches):
         for _, h, _ in parts(batches):
             words, n = np.unique(h, return_counts=True)
@@ -71,72 +66,91 @@ def build_vocabulary(docs: DataFrame, most: int = VOCABULARY) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
 
 
-def count_models(docs: DataFrame, targets: np.ndarray, vocabulary: np.ndarray, bits: int = PAIR_BITS) -> tuple:
-    """Counters of words, of words as contexts, and of pairs; each as two rows, of the target and of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((targets, vocabulary))
-    size = len(vocabulary) + 2
+def count_pairs(docs: DataFrame, vocabulary: np.ndarray | None, bits: int | None) -> DataFrame:
+    """docs: rid, text, own. Gives k, a, b, t, n: of each pair its key and words, and how often target and corpus hold it."""
 
     def run(batches):
-        targets, vocabulary = shared.value
-        for ids, h, first in parts(batches):
-            w = word_ids(h, vocabulary)
-            before, pair = pair_keys(w, first, vocabulary, bits)
-            own = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), targets) & ids.is_valid().to_numpy(zero_copy_only=False)
-            mine = np.repeat(own, np.diff(first))
-            for kind, key in enumerate((w, before, pair)):
-                keys, at, n = np.unique(key, return_inverse=True, return_counts=True)
-                t = np.bincount(at, weights=mine, minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys + (kind << 40)), pa.array(t), pa.array(n)], ["key", "t", "n"])
-
-    counted = docs.mapInArrow(run, "key long, t long, n long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toArrow()
-    key, t, n = (counted.column(c).to_numpy() for c in ("key", "t", "n"))
-    out = []
-    for kind, many in enumerate((size, size, 1 << bits)):
-        own = (key >> 40) == kind
-        table = np.zeros((2, many), np.float32)
-        table[0][key[own] & ((1 << 40) - 1)], table[1][key[own] & ((1 << 40) - 1)] = t[own], n[own]
-        out.append(table)
-    return tuple(out)
-
-
-def losses(w: np.ndarray, before: np.ndarray, pair: np.ndarray, model: tuple, side: int) -> np.ndarray:
-    words, contexts, pairs = (m[side] for m in model)
-    one = (words[w] + 1.0) / (float(words.sum(dtype=np.float64)) + len(words) - 1)
-    return -np.log((pairs[pair] + BACKOFF * one) / (contexts[before] + BACKOFF))
-
-
-def score_documents(docs: DataFrame, target_ids: DataFrame, most: int = VOCABULARY, bits: int = PAIR_BITS) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background, score for each row of docs (doc_id, text). target_ids: one column,
-    at most quality.TRUSTED ids."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    batches_of(docs.sparkSession)
-    targets = np.array(sorted(r[0] for r in target_ids.collect()), np.int64)
-    vocabulary = build_vocabulary(docs, most)
-    model = count_models(docs, targets, vocabulary, bits)
-    if not model[0][0].sum():
-        for m in model:
-            m[0] = m[1]
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+        for batch, h, first in parts(batches):
+            a, b, k = pairs_of(h, first, vocabulary, bits)
+            mine = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
+            _, one, at, n = np.unique(mix(a) + b, return_index=True, return_inverse=True, return_counts=True)
+            t = np.bincount(at, weights=mine, minlength=len(n)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[one].view(np.int64)) for x in (k, a, b)), pa.array(t), pa.array(n)], ["k", "a", "b", "t", "n"])
+
+    each = docs.select("rid", "text", "own").mapInArrow(run, "k long, a long, b long, t long, n long")
+    return each.groupBy("k", "a", "b").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+
+
+def join_counts(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the other columns of table, where each key of rows has one row; size: of a key, at least its rows in rows. Keys
+    of more than total / HOT rows are joined by broadcast."""
+    names = [c for c in table.columns if c not in (key, size)]
+    often = F.col(size) > total // HOT
+    hot = F.broadcast(table.where(often).select(key, F.struct(*names).alias("_hot")))
+    rows = rows.join(hot, key, "left").withColumn("_is_hot", F.col("_hot").isNotNull())
+    rows = rows.withColumn("_key", F.when(F.col("_is_hot"), F.monotonically_increasing_id()).otherwise(F.col(key)))
+    cold = table.where(~often).select(F.col(key).alias("_key"), F.lit(False).alias("_is_hot"), F.struct(*names).alias("_cold"))
+    out = rows.join(cold.hint("merge"), ["_key", "_is_hot"], "left").withColumn("_both", F.coalesce("_hot", "_cold"))
+    return out.select(*(c for c in rows.columns if not c.startswith("_")), "_both.*")
+
+
+def pair_losses(pairs: DataFrame, vocabulary: np.ndarray | None, bits: int | None) -> tuple[DataFrame, int]:
+    """k, loss_t, loss_n, n of each pair (with bits: k, a, b), and the number of tokens."""
+    both = lambda x: (F.sum("t").alias(f"{x}_t"), F.sum("n").alias(f"{x}_n"), F.count(F.lit(1)).alias(f"{x}_rows"))
+    contexts = written(pairs.groupBy("a").agg(*both("a")), "contexts")
+    words = written(pairs.groupBy("b").agg(*both("b")), "words")
+    sums = words.agg(F.sum("b_t").alias("t"), F.sum("b_n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum("b_rows").alias("rows")).first()
+    size = float((len(vocabulary) if vocabulary is not None else sums["words"]) + 1)
+    if bits:
+        shared = pairs.groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+        pairs = pairs.select("k", "a", "b").join(shared, "k")
+    rows = join_counts(join_counts(pairs, words, "b", "b_rows", sums["rows"] or 0), contexts, "a", "a_rows", sums["rows"] or 0)
+
+    def loss(x):
+        one = (F.col(f"b_{x}") + 1.0) / F.lit(float(sums[x] or 0) + size)
+        return -F.log((F.col(x) + BACKOFF * one) / (F.col(f"a_{x}") + BACKOFF))
+
+    return rows.select("k", "a", "b", loss("t" if sums["t"] else "n").alias("loss_t"), loss("n").alias("loss_n"), "n"), sums["n"] or 0
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame, most: int | None = None, bits: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background, score for each row of docs (doc_id, text). target_ids: one column."""
+    spark = docs.sparkSession
+    batches_of(spark)
+    docs = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    good = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("own")).distinct()
+    marked = docs.join(good, "doc_id", "left").withColumn("own", F.col("own").isNotNull())
+    vocabulary = build_vocabulary(docs.select("doc_id", "text"), most) if most is not None else None
+    pairs = written(count_pairs(marked, vocabulary, bits), "pairs")
+    made, total = pair_losses(pairs, vocabulary, bits)
+    made = written(made.select(F.xxhash64("a", "b").alias("k"), "loss_t", "loss_n", "n") if bits else made.select("k", "loss_t", "loss_n", "n"), "losses")
+    release(spark)
+    drop(pairs)
 
     def run(batches):
-        vocabulary, model = shared.value
-        for ids, h, first in parts(batches):
-            w = word_ids(h, vocabulary)
-            before, pair = pair_keys(w, first, vocabulary, bits)
-            n = np.diff(first)
-            sides = []
-            for side in (0, 1):
-                total = np.concatenate(([0.0], np.cumsum(losses(w, before, pair, model, side))))
-                sides.append((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1))
-            none = n == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (*sides, sides[0] - sides[1])]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), *columns], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+        for batch, h, first in parts(batches):
+            a, b, k = pairs_of(h, first, vocabulary, None)
+            own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            order = np.lexsort((k, own))
+            new = np.ones(len(k), bool)
+            new[1:] = (np.diff(own[order]) != 0) | (k[order][1:] != k[order][:-1])
+            at = np.flatnonzero(new)
+            one = order[at]
+            rid = batch.column(0).to_numpy(zero_copy_only=False)[own[one]]
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *(pa.array(x[one].view(np.int64)) for x in (k, a, b)), pa.array(np.diff(np.append(at, len(k))), pa.int32())], ["rid", "k", "a", "b", "m"])
+
+    each = docs.select("rid", "text").mapInArrow(run, "rid long, k long, a long, b long, m int")
+    each = each.select("rid", F.xxhash64("a", "b").alias("k") if bits else "k", "m")
+    joined = join_counts(each, made, "k", "n", total)
+    sums = joined.groupBy("rid").agg(F.sum("m").cast("long").alias("n"), *(F.sum(F.col("m") * F.col(x)).alias(x) for x in ("loss_t", "loss_n")))
+    out = docs.select("rid", "doc_id").join(sums, "rid", "left")
+    target, background = F.col("loss_t") / F.col("n"), F.col("loss_n") / F.col("n")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), target.alias("loss_target"), background.alias("loss_background"), (target - background).alias("score"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(read(spark, sf_dir, "documents"), trusted_ids(read(spark, sf_dir, "labels")).select("_good"))
+    good = read(spark, sf_dir, "labels").where((F.col("quality") == 1) & F.col("doc_id").isNotNull())
+    return score_documents(read(spark, sf_dir, "documents"), good.select("doc_id"))
 
 
 QUERIES = {"op1_lm_scoring": op1_lm_scoring}

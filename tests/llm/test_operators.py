@@ -341,6 +341,30 @@ def test_lm_scoring(spark, docs, odd):
     assert lm_scoring.score_documents(odd.limit(0), targets).count() == 0
 
 
+def test_lm_scoring_counts_every_word_and_pair(spark):
+    """More words than any fixed vocabulary, each pair with its own count; the same for repeated ids."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.05, 800) % 60_000) for _ in range(60)]
+    texts += [" ".join(f"r{i}x{j}" for j in range(400)) for i in range(50)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    good = {3, 4, 40}
+    n, ctx, two = ([Counter(), Counter()] for _ in range(3))
+    for i, t in rows:
+        w = t.split()
+        for side in (0, 1) if i in good else (1,):
+            n[side].update(w), ctx[side].update(["^", *w[:-1]]), two[side].update(zip(["^", *w], w))
+    assert len(n[1]) > 1 << 14
+    want = []
+    for i, t in rows:
+        w = t.split()
+        each = [-sum(math.log((two[s][a, b] + lm_scoring.BACKOFF * (n[s][b] + 1) / (n[s].total() + len(n[1]) + 1)) / (ctx[s][a] + lm_scoring.BACKOFF)) for a, b in zip(["^", *w], w)) / len(w) for s in (0, 1)]
+        want.append((i, len(w), *each))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "i long")).collect()
+    for g, x in zip(sorted(map(tuple, got)), sorted(want), strict=True):
+        assert g[:2] == x[:2] and g[2:] == pytest.approx((*x[2:], x[2] - x[3]), rel=1e-9)
+
+
 def test_license_scan(spark, odd):
     mit = license_scan.TEMPLATES["MIT-text"]
     w = mit.split()
