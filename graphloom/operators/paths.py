@@ -26,13 +26,15 @@ def levels(edges: DataFrame, start: DataFrame, done=None, most: int | None = Non
     edges = settled(edges)
     frontier = settled(start.select("usr", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")).distinct())
     found, parts, hops = frontier, [frontier], 0
-    while not (done and done(frontier)) and (most is None or hops < most) and hops < MOST_LEVELS:
+    while not (done and done(frontier)) and (most is None or hops < most):
         hops += 1
         step = frontier.join(edges, frontier["usr"] == edges["caller"]).groupBy(F.col("callee").alias("usr")).agg(F.min("caller").alias("parent"))
         new = settled(step.join(found.select("usr"), "usr", "left_anti").select("usr", F.lit(hops).alias("hops"), "parent"))
         if new.isEmpty():
             forget(new)
             break
+        if hops > MOST_LEVELS:
+            raise RuntimeError(f"the search is deeper than {MOST_LEVELS} levels")
         frontier = new
         parts.append(new)
         if len(parts) >= 16:  # few files to scan, however deep the graph

@@ -152,3 +152,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_search_deeper_than_the_limit_raises(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(5)], "caller string, callee string")
+    start = spark.createDataFrame([("f0",)], "usr string")
+    monkeypatch.setattr(paths, "MOST_LEVELS", 5)
+    assert paths.levels(edges, start).count() == 6
+    monkeypatch.setattr(paths, "MOST_LEVELS", 3)
+    assert paths.levels(edges, start, most=3).count() == 4
+    with pytest.raises(RuntimeError):
+        paths.levels(edges, start)
