@@ -4,22 +4,28 @@ Two matched bigram models, one of trusted target documents and one of the whole
 (all words of the corpus) and their smoothing. A token's loss under a model is ``-ln p``, with
 ``p(b | a) = (n(a b) + BACKOFF * p(b)) / (n(a) + BACKOFF)`` and ``p(b) = (n(b) + 1) / (N + words of the vocabulary + 1)``.
 A document's score is the mean over its tokens of the target's loss minus the background's: the lower, the more it is like the
-target.
+target. The target is every document labelled good.
 
-Counts are of all documents and all words and pairs, in tables keyed by 64-bit word hashes that grow with the corpus; only
-totals reach the driver. Pairs are counted in each task, then summed by key; words and contexts are sums of these. Each pair's two
-losses are joined to the documents' pairs. Keys that make up more than 1/HOT of a join's rows are joined by broadcast (HOT of
-them at most), so that none of them meets in one task. The target is every document labelled good.
+Counts are of all documents and all words and pairs, by 64-bit hashes; nothing is capped.
+
+1. ``grams``: the counts of all words, as a table that grows with the corpus, and those of pairs that make up at least
+   1/(2 HOT) of a chunk of text. A pair above 1/HOT of the corpus is counted by at least half that way, so it is found.
+2. Words and pairs above 1/(2 HOT) of the corpus, 2 HOT of each at most, are frequent: their counts (of pairs exact ones, by one
+   more pass) are broadcast, and their losses are added where the text is read. So no frequent key meets in one task.
+3. The rest goes through one shuffle: a row for each document and different pair, keyed by its second word, or by the pair
+   if that word is frequent. A task sorts its rows by key, so that it holds one key's rows, at most 1/HOT of the corpus, and
+   one batch at a time; it counts words, contexts and pairs there and returns each row's losses, which are summed by document. This is
+   done in PASSES parts of the keys one after the other, so that the shuffle files of one part only lie on disk.
 
 Defined cases: null and blank texts have no tokens and null losses and score; without target documents both models are
 the same and scores are 0; repeated rows count and are scored each; a null id is no target; an empty table gives none. Only the
-id and text columns are read. A-Z are lower-cased. ``most`` limits the vocabulary (further words are one unknown word; equally
-frequent words enter by hash) and ``bits`` hashes pairs into 2**bits shared counters; the query uses neither.
+id and text columns are read. A-Z are lower-cased.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, tokens, with_row_ids, written
 
-BACKOFF, CHUNK, HOT = 20.0, 4 << 20, 1 << 14
-UNKNOWN, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
+BACKOFF, CHUNK, HOT, PASSES, GATHER = 20.0, 4 << 20, 1 << 16, 2, 1 << 16
+START = np.uint64(0xBB67AE8584CAA73B)
+#: What w tells of a shuffled row: at least 0 the frequent word it ends in, else one of these.
+COLD, TARGET_SUM, BACKGROUND_SUM = -1, -2, -3
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,110 +47,212 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def parts(batches: Iterator[pa.RecordBatch]):
+    """Of batches (rid, text, own): rids, own, and the word hashes of about CHUNK bytes of text with the first word of each."""
     for batch in batches:
         data, starts = text_bytes(batch.column(1))
+        rid, own = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         for i, j in chunks(starts, CHUNK):
             h, first = word_hashes(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-            yield batch.slice(i, j - i), h, first
+            yield rid[i:j], own[i:j], h, first
 
 
-def pairs_of(h: np.ndarray, first: np.ndarray, vocabulary: np.ndarray | None, bits: int | None) -> tuple[np.ndarray, ...]:
-    """For each token the word before it (START at the start of a text), the word, and the key of both."""
-    if vocabulary is not None:
-        h = np.where(np.isin(h, vocabulary), h, UNKNOWN)
+def pairs_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the word before it (START at the start of a text), the key of both, and whether it is its text's last."""
     before = np.concatenate(([START], h[:-1]))[: len(h)]
-    before[first[:-1][first[:-1] < first[1:]]] = START
-    key = mix(mix(before) + h)
-    return before, h, key >> np.uint64(64 - bits) if bits else key
+    full = first[:-1] < first[1:]
+    before[first[:-1][full]] = START
+    last = np.zeros(len(h), bool)
+    last[first[1:][full] - 1] = True
+    return before, mix(mix(before) + h), last
 
 
-def build_vocabulary(docs: DataFrame, most: int) -> np.ndarray:
-    def run(batches):
-        for _, h, _ in parts(batches):
-            words, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["h", "n"])
+def place_in(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in sorted keys, -1 where it is none of them."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
 
-    top = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most)
-    return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
 
+def counted(h: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct hashes, how often each occurs, and the sums of the weights of each."""
+    keys, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    return keys, n, *(np.bincount(at, weights=w, minlength=len(keys)).astype(np.int64) for w in weights)
 
-def count_pairs(docs: DataFrame, vocabulary: np.ndarray | None, bits: int | None) -> DataFrame:
-    """docs: rid, text, own. Gives k, a, b, t, n: of each pair its key and words, and how often target and corpus hold it."""
+
+def grams(docs: DataFrame) -> DataFrame:
+    """kind, h, n, t, e, et: of words (kind 0) the count, the target's, and both as last word of a text; of frequent pairs
+    (kind 1) the count in chunks where they are."""
+    rare = 2 * HOT
 
     def run(batches):
-        for batch, h, first in parts(batches):
-            a, b, k = pairs_of(h, first, vocabulary, bits)
-            mine = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            _, one, at, n = np.unique(mix(a) + b, return_index=True, return_inverse=True, return_counts=True)
-            t = np.bincount(at, weights=mine, minlength=len(n)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[one].view(np.int64)) for x in (k, a, b)), pa.array(t), pa.array(n)], ["k", "a", "b", "t", "n"])
-
-    each = docs.select("rid", "text", "own").mapInArrow(run, "k long, a long, b long, t long, n long")
-    return each.groupBy("k", "a", "b").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-
-
-def join_counts(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """rows with the other columns of table, where each key of rows has one row; size: of a key, at least its rows in rows. Keys
-    of more than total / HOT rows are joined by broadcast."""
-    names = [c for c in table.columns if c not in (key, size)]
-    often = F.col(size) > total // HOT
-    hot = F.broadcast(table.where(often).select(key, F.struct(*names).alias("_hot")))
-    rows = rows.join(hot, key, "left").withColumn("_is_hot", F.col("_hot").isNotNull())
-    rows = rows.withColumn("_key", F.when(F.col("_is_hot"), F.monotonically_increasing_id()).otherwise(F.col(key)))
-    cold = table.where(~often).select(F.col(key).alias("_key"), F.lit(False).alias("_is_hot"), F.struct(*names).alias("_cold"))
-    out = rows.join(cold.hint("merge"), ["_key", "_is_hot"], "left").withColumn("_both", F.coalesce("_hot", "_cold"))
-    return out.select(*(c for c in rows.columns if not c.startswith("_")), "_both.*")
-
-
-def pair_losses(pairs: DataFrame, vocabulary: np.ndarray | None, bits: int | None) -> tuple[DataFrame, int]:
-    """k, loss_t, loss_n, n of each pair (with bits: k, a, b), and the number of tokens."""
-    both = lambda x: (F.sum("t").alias(f"{x}_t"), F.sum("n").alias(f"{x}_n"), F.count(F.lit(1)).alias(f"{x}_rows"))
-    contexts = written(pairs.groupBy("a").agg(*both("a")), "contexts")
-    words = written(pairs.groupBy("b").agg(*both("b")), "words")
-    sums = words.agg(F.sum("b_t").alias("t"), F.sum("b_n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum("b_rows").alias("rows")).first()
-    size = float((len(vocabulary) if vocabulary is not None else sums["words"]) + 1)
-    if bits:
-        shared = pairs.groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-        pairs = pairs.select("k", "a", "b").join(shared, "k")
-    rows = join_counts(join_counts(pairs, words, "b", "b_rows", sums["rows"] or 0), contexts, "a", "a_rows", sums["rows"] or 0)
-
-    def loss(x):
-        one = (F.col(f"b_{x}") + 1.0) / F.lit(float(sums[x] or 0) + size)
-        return -F.log((F.col(x) + BACKOFF * one) / (F.col(f"a_{x}") + BACKOFF))
-
-    return rows.select("k", "a", "b", loss("t" if sums["t"] else "n").alias("loss_t"), loss("n").alias("loss_n"), "n"), sums["n"] or 0
-
-
-def score_documents(docs: DataFrame, target_ids: DataFrame, most: int | None = None, bits: int | None = None) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background, score for each row of docs (doc_id, text). target_ids: one column."""
-    spark = docs.sparkSession
-    batches_of(spark)
-    docs = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    good = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("own")).distinct()
-    marked = docs.join(good, "doc_id", "left").withColumn("own", F.col("own").isNotNull())
-    vocabulary = build_vocabulary(docs.select("doc_id", "text"), most) if most is not None else None
-    pairs = written(count_pairs(marked, vocabulary, bits), "pairs")
-    made, total = pair_losses(pairs, vocabulary, bits)
-    made = written(made.select(F.xxhash64("a", "b").alias("k"), "loss_t", "loss_n", "n") if bits else made.select("k", "loss_t", "loss_n", "n"), "losses")
-    release(spark)
-    drop(pairs)
+        for _, own, h, first in parts(batches):
+            mine = np.repeat(own, np.diff(first))
+            _, k, last = pairs_of(h, first)
+            words = counted(h, mine, last, mine & last)
+            keys, n = counted(k)
+            some = n * rare >= len(k)
+            none = np.zeros(int(some.sum()), np.int64)
+            columns = [np.repeat([0, 1], [len(words[0]), len(none)]).astype(np.int32), np.concatenate((words[0], keys[some])).view(np.int64), np.concatenate((words[1], n[some])), *(np.concatenate((w, none)) for w in words[2:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "h", "n", "t", "e", "et"])
+
+    each = docs.mapInArrow(run, "kind int, h long, n long, t long, e long, et long")
+    return each.groupBy("kind", "h").agg(*(F.sum(c).alias(c) for c in ("n", "t", "e", "et")))
+
+
+@dataclass
+class Model:
+    """Totals of the corpus and of the target, and of frequent words and pairs, by sorted hash, what their tokens add to the losses."""
+
+    size: float
+    total: tuple[float, float]
+    texts: tuple[float, float]
+    words: np.ndarray
+    counts: tuple[np.ndarray, np.ndarray]
+    contexts: tuple[np.ndarray, np.ndarray]
+    pairs: np.ndarray
+    losses: tuple[np.ndarray, np.ndarray]
+
+    def share(self, side: int, n):
+        """BACKOFF * p(b) of words with n tokens."""
+        return BACKOFF * (n + 1.0) / (self.total[side] + self.size)
+
+
+def frequent(docs: DataFrame, table: DataFrame) -> Model:
+    word = F.col("kind") == 0
+    sums = table.where(word).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t", "e", "et")), F.count(F.lit(1)).alias("words")).first()
+    least = sums["n"] // (2 * HOT)
+    top = table.where(F.col("n") > least).toArrow()  # 2 HOT words and as many pairs at most
+    kind, h = top.column("kind").to_numpy(), top.column("h").to_numpy().view(np.uint64)
+    order = np.flatnonzero(kind == 0)[np.argsort(h[kind == 0])]
+    n, t, e, et = (top.column(c).to_numpy()[order].astype(float) for c in ("n", "t", "e", "et"))
+    sides = (t, n) if sums["t"] else (n, n)
+    ends = (et, e) if sums["t"] else (e, e)
+    model = Model(float(sums["words"] + 1), tuple(float(sums[c if sums["t"] else "n"]) for c in ("t", "n")), tuple(float(sums[c if sums["t"] else "e"]) for c in ("et", "e")), h[order], sides, tuple(np.log(x - y + BACKOFF) for x, y in zip(sides, ends, strict=True)), np.sort(h[kind == 1]), ())
+    words, pairs = model.words, model.pairs
 
     def run(batches):
-        for batch, h, first in parts(batches):
-            a, b, k = pairs_of(h, first, vocabulary, None)
-            own = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            order = np.lexsort((k, own))
-            new = np.ones(len(k), bool)
-            new[1:] = (np.diff(own[order]) != 0) | (k[order][1:] != k[order][:-1])
+        for _, own, h, first in parts(batches):
+            _, k, _ = pairs_of(h, first)
+            q = place_in(pairs, k)
+            some = q >= 0
+            place, one, at, n = np.unique(q[some], return_index=True, return_inverse=True, return_counts=True)
+            t = np.bincount(at, weights=np.repeat(own, np.diff(first))[some], minlength=len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(place_in(words, h[some][one]), pa.int64()), pa.array(n), pa.array(t.astype(np.int64))], ["q", "w", "n", "t"])
+
+    exact = docs.mapInArrow(run, "q long, w long, n long, t long").groupBy("q").agg(F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow() if len(pairs) else None
+    if exact is None:
+        model.losses = (np.zeros(0), np.zeros(0))
+        return model
+    order = np.argsort(exact.column("q").to_numpy())
+    w, n, t = (exact.column(c).to_numpy()[order] for c in ("w", "n", "t"))
+    model.losses = tuple(-np.log(x + model.share(s, model.counts[s][w])) for s, x in enumerate((t if sums["t"] else n, n)))
+    return model
+
+
+def rare_rows(docs: DataFrame, shared, part: int) -> DataFrame:
+    """g (key), a (the word before, where the key is a word), rid, x (times the pair occurs, whether it ends the text, whether the
+    text is of the target), w: the pairs that are not frequent and lie in this part. In the first part also what the frequent ones add."""
+    passes = PASSES
+
+    def run(batches):
+        model = shared.value
+        for rid, own, h, first in parts(batches):
+            doc = np.repeat(np.arange(len(rid)), np.diff(first))
+            a, k, last = pairs_of(h, first)
+            w, q = place_in(model.words, h), place_in(model.pairs, k)
+            out = []
+            if part == 0:
+                n = np.diff(first)
+                for side, code in ((0, TARGET_SUM), (1, BACKGROUND_SUM)):
+                    loss = np.zeros(len(h))
+                    loss[q >= 0] = model.losses[side][q[q >= 0]]
+                    inner = (w >= 0) & ~last
+                    loss[inner] += model.contexts[side][w[inner]]
+                    total = np.bincount(doc, weights=loss, minlength=len(rid)) + np.where(n > 0, np.log(model.texts[side] + BACKOFF), 0.0)
+                    out.append((mix(rid.view(np.uint64)).view(np.int64), total.view(np.int64), rid, n, np.full(len(rid), code)))
+            g = np.where(w >= 0, k, h)
+            some = np.flatnonzero((q < 0) & (mix(g) % np.uint64(passes) == part))
+            order = some[np.argsort(mix(k[some] + mix(doc[some].astype(np.uint64))))]
+            new = np.ones(len(order), bool)
+            new[1:] = (k[order[1:]] != k[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
             at = np.flatnonzero(new)
             one = order[at]
-            rid = batch.column(0).to_numpy(zero_copy_only=False)[own[one]]
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *(pa.array(x[one].view(np.int64)) for x in (k, a, b)), pa.array(np.diff(np.append(at, len(k))), pa.int32())], ["rid", "k", "a", "b", "m"])
+            if len(one):
+                x = np.diff(np.append(at, len(order))) * 4 + np.add.reduceat(last[order], at).astype(bool) * 2 + own[doc[one]]
+                out.append((g[one].view(np.int64), np.where(w[one] >= 0, np.uint64(0), a[one]).view(np.int64), rid[doc[one]], x, w[one]))
+            for c in zip(*([np.concatenate([o[k] for o in out])] for k in range(5)), strict=True) if out else ():
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in c[:3]), *(pa.array(v, pa.int32()) for v in c[3:])], ["g", "a", "rid", "x", "w"])
+
+    return docs.mapInArrow(run, "g long, a long, rid long, x int, w int")
+
+
+def row_losses(model: Model, g: np.ndarray, a: np.ndarray, rid: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """rid, n (tokens of the text, once), and what each row adds to both losses; all rows of a key are here."""
+    sums = w <= TARGET_SUM
+    n = np.where(w == TARGET_SUM, x, 0).astype(np.int64)
+    out = [np.where(w == code, a.view(np.float64), 0.0) for code in (TARGET_SUM, BACKGROUND_SUM)]
+    rows = np.flatnonzero(~sums)
+    if len(rows):
+        g, a, x, w = g[rows], a[rows], x[rows], w[rows]
+        m, ends, own = x >> 2, (x >> 1) & 1, x & 1
+        key = np.cumsum(np.concatenate(([True], g[1:] != g[:-1]))) - 1
+        pair = np.unique(mix(mix(g.view(np.uint64)) + a.view(np.uint64)), return_inverse=True)[1]
+        target = model.total[0] != model.total[1]
+        for side in (0, 1):
+            times = m * own if side == 0 and target else m
+            inner = (m - ends) * own if side == 0 and target else m - ends
+            both = np.bincount(pair, weights=times)[pair]
+            words = np.bincount(key, weights=times)[key]
+            words[w >= 0] = model.counts[side][w[w >= 0]]
+            context = np.where(w >= 0, 0.0, (m - ends) * np.log(np.bincount(key, weights=inner)[key] + BACKOFF))
+            out[side][rows] = context - m * np.log(both + model.share(side, words))
+    return rid, n, *out
+
+
+def summed(rows: DataFrame, shared) -> DataFrame:
+    """rid, n, loss_t, loss_n: of each document the sums over rows."""
 
-    each = docs.select("rid", "text").mapInArrow(run, "rid long, k long, a long, b long, m int")
-    each = each.select("rid", F.xxhash64("a", "b").alias("k") if bits else "k", "m")
-    joined = join_counts(each, made, "k", "n", total)
-    sums = joined.groupBy("rid").agg(F.sum("m").cast("long").alias("n"), *(F.sum(F.col("m") * F.col(x)).alias(x) for x in ("loss_t", "loss_n")))
+    def run(batches):
+        model, held, size = shared.value, [], 0
+
+        def flush(whole: bool):
+            table = [np.concatenate([h[c] for h in held]) for c in range(5)]
+            cut = len(table[0]) if whole else int(np.searchsorted(table[0], table[0][-1]))
+            if cut:
+                got = row_losses(model, *(c[:cut] for c in table))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["rid", "n", "loss_t", "loss_n"])
+            held[:] = [tuple(c[cut:] for c in table)]
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)))
+            size += batch.num_rows
+            if size >= GATHER:
+                yield from flush(False)
+                size = 0
+        if held:
+            yield from flush(True)
+
+    each = rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "rid long, n long, loss_t double, loss_n double")
+    return each.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("n", "loss_t", "loss_n")))
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background, score for each row of docs (doc_id, text). target_ids: one column."""
+    spark = docs.sparkSession
+    batches_of(spark)
+    docs = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    good = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("own")).distinct()
+    marked = docs.join(good, "doc_id", "left").select("rid", "text", F.col("own").isNotNull().alias("own"))
+    table = written(grams(marked), "grams")
+    shared = spark.sparkContext.broadcast(frequent(marked, table))
+    drop(table)
+    sums = None
+    for part in range(PASSES):
+        some = written(summed(rare_rows(marked, shared, part), shared), "losses")
+        release(spark)
+        sums = some if sums is None else sums.unionByName(some)
+    sums = sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("n", "loss_t", "loss_n"))).where("n > 0")
     out = docs.select("rid", "doc_id").join(sums, "rid", "left")
     target, background = F.col("loss_t") / F.col("n"), F.col("loss_n") / F.col("n")
     return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), target.alias("loss_target"), background.alias("loss_background"), (target - background).alias("score"))

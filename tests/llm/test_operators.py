@@ -307,62 +307,48 @@ def test_chat_format(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
-def test_lm_scoring(spark, docs, odd):
+@pytest.mark.parametrize("hot", [lm_scoring.HOT, 40, 1])
+def test_lm_scoring(spark, docs, odd, monkeypatch, hot):
+    """All documents against plain counting, with all, some and hardly any words and pairs frequent."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "GATHER", 3000)
     ids = [r["doc_id"] for r in docs.orderBy("doc_id").limit(20).collect()]
-    targets = spark.createDataFrame([(i,) for i in ids], "i long")
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs, targets, most=50, bits=20).collect()}
-    words = {r["doc_id"]: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"])) for r in docs.collect()}
-    n = Counter(w for ws in words.values() for w in ws).most_common()
-    if n[49][1] == n[50][1]:
-        pytest.skip("a tie at the end of the vocabulary")
-    known = {w for w, _ in n[:50]}
-    seqs = {i: [w if w in known else "?" for w in ws] for i, ws in words.items()}
-
-    def model(some):
-        one = Counter(w for i in some for w in seqs[i])
-        ctx = Counter(w for i in some for w in ["^", *seqs[i][:-1]] if seqs[i])
-        two = Counter(p for i in some for p in zip(["^", *seqs[i]], seqs[i]))
-        return one, ctx, two
-
-    def loss(seq, m):
-        one, ctx, two = m
-        total = 0.0
-        for a, b in zip(["^", *seq], seq):
-            p = (one[b] + 1) / (sum(one.values()) + 51)
-            total -= math.log((two[a, b] + lm_scoring.BACKOFF * p) / (ctx[a] + lm_scoring.BACKOFF))
-        return total / len(seq)
-
-    target, everything = model(ids), model(list(seqs))
-    for i in list(seqs)[:25]:
-        assert got[i]["loss_target"] == pytest.approx(loss(seqs[i], target), rel=1e-2)  # pairs share counters now and then
-        assert got[i]["loss_background"] == pytest.approx(loss(seqs[i], everything), rel=1e-2)
-    edge = lm_scoring.score_documents(odd, targets.limit(0)).collect()
-    assert len(edge) == len(ODD) and all(r["score"] in (None, 0.0) for r in edge)
-    assert lm_scoring.score_documents(odd.limit(0), targets).count() == 0
-
-
-def test_lm_scoring_counts_every_word_and_pair(spark):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + ODD
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(ODD, "doc_id long, text string"))
+    assert_losses(lm_scoring.score_documents(both, spark.createDataFrame([(i,) for i in ids], "i long")), [(i, WORD.findall(lower(t))) for i, t in rows], set(ids))
+    edge = lm_scoring.score_documents(odd, spark.createDataFrame([], "i long")).collect()
+    assert len(edge) == len(ODD) and all(r["score"] in (None, 0.0) and (r["score"] is None) == (r["n_tokens"] == 0) for r in edge)
+    assert lm_scoring.score_documents(odd.limit(0), spark.createDataFrame([(1,)], "i long")).count() == 0
+
+
+def assert_losses(got, rows, good):
+    """rows: id and words of each document."""
+    n, ctx, two = ([Counter(), Counter()] for _ in range(3))
+    for i, w in rows:
+        for side in (0, 1) if i in good else (1,):
+            n[side].update(w), ctx[side].update(["^", *w[:-1]] if w else []), two[side].update(zip(["^", *w], w))
+    want = []
+    for i, w in rows:
+        each = [-sum(math.log((two[s][a, b] + lm_scoring.BACKOFF * (n[s][b] + 1) / (n[s].total() + len(n[1]) + 1)) / (ctx[s][a] + lm_scoring.BACKOFF)) for a, b in zip(["^", *w], w)) / len(w) if w else None for s in (0, 1)]
+        want.append((i, len(w), *each, each[0] - each[1] if w else None))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    for g, x in zip(sorted(map(tuple, got.collect()), key=order), sorted(want, key=order), strict=True):
+        assert g[:2] == x[:2] and (g[2:] == x[2:] if x[2] is None else g[2:] == pytest.approx(x[2:], rel=1e-9, abs=1e-9))
+
+
+@pytest.mark.parametrize("hot", [lm_scoring.HOT, 300])
+def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch, hot):
     """More words than any fixed vocabulary, each pair with its own count; the same for repeated ids."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{x}" for x in rng.zipf(1.05, 800) % 60_000) for _ in range(60)]
     texts += [" ".join(f"r{i}x{j}" for j in range(400)) for i in range(50)]
     rows = [(i // 2, t) for i, t in enumerate(texts)]
     good = {3, 4, 40}
-    n, ctx, two = ([Counter(), Counter()] for _ in range(3))
-    for i, t in rows:
-        w = t.split()
-        for side in (0, 1) if i in good else (1,):
-            n[side].update(w), ctx[side].update(["^", *w[:-1]]), two[side].update(zip(["^", *w], w))
-    assert len(n[1]) > 1 << 14
-    want = []
-    for i, t in rows:
-        w = t.split()
-        each = [-sum(math.log((two[s][a, b] + lm_scoring.BACKOFF * (n[s][b] + 1) / (n[s].total() + len(n[1]) + 1)) / (ctx[s][a] + lm_scoring.BACKOFF)) for a, b in zip(["^", *w], w)) / len(w) for s in (0, 1)]
-        want.append((i, len(w), *each))
+    assert len({w for t in texts for w in t.split()}) > 1 << 14
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "i long")).collect()
-    for g, x in zip(sorted(map(tuple, got)), sorted(want), strict=True):
-        assert g[:2] == x[:2] and g[2:] == pytest.approx((*x[2:], x[2] - x[3]), rel=1e-9)
+    assert_losses(lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "i long")), [(i, t.split()) for i, t in rows], good)
 
 
 def test_license_scan(spark, odd):
