@@ -8,6 +8,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -91,9 +92,12 @@ def drop(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect garbage. The first
+    collection frees what holds them, the second finds them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def batches_of(spark: SparkSession, rows: int = 1000) -> None:
