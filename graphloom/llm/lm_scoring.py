@@ -6,7 +6,7 @@ Two matched bigram models, one of trusted target documents and one of the whole
 A document's score is the mean over its tokens of the target's loss minus the background's: the lower, the more it is like the
 target. The target is every document labelled good.
 
-Counts are of all documents and all words and pairs, by 64-bit hashes; nothing is capped.
+The texts are written once with a mark on those of the target. Counts are of all documents and all words and pairs, by 64-bit hashes; nothing is capped.
 
 1. ``grams``: the counts of all words, as a table that grows with the corpus, and those of pairs that make up at least
    1/(2 HOT) of a chunk of text. A pair above 1/HOT of the corpus is counted by at least half that way, so it is found.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, tokens, with_row_ids, written
 
-BACKOFF, CHUNK, HOT, PASSES, GATHER = 20.0, 4 << 20, 1 << 16, 2, 1 << 16
+BACKOFF, CHUNK, HOT, PASSES, GATHER = 20.0, 4 << 20, 1 << 16, 3, 1 << 16
 START = np.uint64(0xBB67AE8584CAA73B)
 #: What w tells of a shuffled row: at least 0 the frequent word it ends in, else one of these.
 COLD, TARGET_SUM, BACKGROUND_SUM = -1, -2, -3
@@ -243,15 +243,19 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     batches_of(spark)
     docs = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     good = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("own")).distinct()
-    marked = docs.join(good, "doc_id", "left").select("rid", "text", F.col("own").isNotNull().alias("own"))
+    # the labels may be too many to send to every task: their join moves the texts, so it is done once and kept
+    marked = written(docs.join(good, "doc_id", "left").select("rid", "text", F.col("own").isNotNull().alias("own")), "marked", "zstd")
+    release(spark)
     table = written(grams(marked), "grams")
     shared = spark.sparkContext.broadcast(frequent(marked, table))
+    release(spark)
     drop(table)
     sums = None
     for part in range(PASSES):
         some = written(summed(rare_rows(marked, shared, part), shared), "losses")
         release(spark)
         sums = some if sums is None else sums.unionByName(some)
+    drop(marked)
     sums = sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("n", "loss_t", "loss_n"))).where("n > 0")
     out = docs.select("rid", "doc_id").join(sums, "rid", "left")
     target, background = F.col("loss_t") / F.col("n"), F.col("loss_n") / F.col("n")
