@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, tokens, with_row_ids, written
 
-BACKOFF, CHUNK, HOT, PASSES, GATHER = 20.0, 4 << 20, 1 << 16, 3, 1 << 16
+BACKOFF, CHUNK, HOT, PASSES, GATHER = 20.0, 4 << 20, 1 << 16, 4, 1 << 16
 START = np.uint64(0xBB67AE8584CAA73B)
 #: What w tells of a shuffled row: at least 0 the frequent word it ends in, else one of these.
 COLD, TARGET_SUM, BACKGROUND_SUM = -1, -2, -3
@@ -242,9 +242,10 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     batches_of(spark)
     docs = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    good = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("own")).distinct()
-    # the labels may be too many to send to every task: their join moves the texts, so it is done once and kept
-    marked = written(docs.join(good, "doc_id", "left").select("rid", "text", F.col("own").isNotNull().alias("own")), "marked", "zstd")
+    good = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("_id"), F.lit(False).alias("_none"), F.lit(True).alias("own")).where("_id is not null").distinct()
+    # the labels may be too many to send to every task: their join moves the texts, at any size, so it is done once and kept
+    spread = docs.select("rid", "text", F.coalesce("doc_id", "rid").alias("_id"), F.col("doc_id").isNull().alias("_none"))
+    marked = written(spread.join(good.hint("merge"), ["_id", "_none"], "left").select("rid", "text", F.col("own").isNotNull().alias("own")), "marked", "zstd")
     release(spark)
     table = written(grams(marked), "grams")
     shared = spark.sparkContext.broadcast(frequent(marked, table))
