@@ -56,6 +56,23 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0))), turn)
 
 
+def cut_by_mask(formatted: Column, runs: Column) -> Column:
+    """The text under the loss mask, run by run, as array<string>. Runs come in threes, of which the last is an end mark; null where
+    they do not fit the formatted text."""
+    ends = F.split(formatted, CLOSE)
+    turns = F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))
+    run = lambda i, k: F.get(runs, 3 * i + k)
+    fits = (F.size(runs) == 3 * F.size(turns)) & F.forall(
+        F.transform(turns, lambda s, i: (F.length(s) == run(i, 0)["n"] + run(i, 1)["n"]) & (run(i, 2)["n"] == len(CLOSE)) & ~run(i, 2)["loss"]), lambda x: x
+    )
+
+    def cut(s, i):
+        head = run(i, 0)["n"]
+        return F.array(F.when(run(i, 0)["loss"], F.substring(s, F.lit(1), head)), F.when(run(i, 1)["loss"], F.substring(s, head + 1, run(i, 1)["n"])))
+
+    return F.when(fits, F.filter(F.flatten(F.transform(turns, cut)), lambda x: x.isNotNull()))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, turns array<struct<role, text>>, escaped boolean, formatted string, and loss_runs: the loss mask over the
     code points of formatted as array<struct<n, loss>> of run lengths; only what assistants said bears loss."""
@@ -78,16 +95,17 @@ def format_conversations(rows: DataFrame) -> DataFrame:
             ),
         )
     )
-    return shown.select("conv_id", "turns", "escaped", F.when(F.col("escaped"), render(F.col("shown"))).otherwise(F.col("raw")).alias("formatted"), runs.alias("loss_runs"))
+    out = shown.select("conv_id", "turns", "escaped", F.when(F.col("escaped"), render(F.col("shown"))).otherwise(F.col("raw")).alias("formatted"), runs.alias("loss_runs"))
+    broken = F.col("escaped") & ~parse(F.col("formatted")).eqNullSafe(F.col("turns"))
+    return out.withColumn("formatted", F.when(broken, F.raise_error(F.lit("an escaped conversation does not read back as it was"))).otherwise(F.col("formatted")))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.range(2).select(F.lit(OWN_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN_TEXT).alias("text"))
     made = format_conversations(rows.unionByName(own))
-    back = made.select("conv_id", "formatted", "escaped", parse(F.col("formatted")).alias("turns"))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    back = back.withColumn("said", said)
+    back = made.select("conv_id", "formatted", "escaped", parse(F.col("formatted")).alias("turns"), cut_by_mask(F.col("formatted"), F.col("loss_runs")).alias("masked"))
+    back = back.withColumn("said", F.array_join(F.transform("masked", unescape), ""))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

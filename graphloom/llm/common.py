@@ -14,7 +14,6 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -40,12 +39,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def with_row_ids(docs: DataFrame) -> DataFrame:
-    """Adds rid: the id where ids are unique, else a number made of the id and the row's place among those of its id."""
+    """Adds rid: the id where ids are unique, else the row's number in a table that is written for it (rows of one id, or of none,
+    never meet in one task)."""
     docs = docs.withColumn("rid", F.col("doc_id").cast("long"))
     if not docs.groupBy("rid").count().where("rid is null or count > 1").limit(1).count():
         return docs
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.withColumn("rid", F.xxhash64(F.coalesce("rid", F.lit(0)), F.col("rid").isNull(), place))
+    return written(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
 
 
 # -- intermediate tables ----------------------------------------------------------------------------------------------
@@ -60,10 +59,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A folder of this application under spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on
+    this machine (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _ROOTS[app] = f"{(base or tempfile.mkdtemp(prefix='graphloom-')).rstrip('/')}/graphloom-{app}"
 
         def tidy(root=_ROOTS[app]):

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import drop, written
 
-MOST_ROUNDS = 60
+MOST_ROUNDS, SALTS = 60, 64
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest reachable node) for every node of the edges; rows with a null or a loop add nothing.
 
     Each round maps a node's neighbours to the smallest of them; the stars it ends in are the components. A hot node is
-    pre-aggregated by min() and its join is split by adaptive execution; no group is gathered."""
+    pre-aggregated by min(), and its join is dealt to SALTS tasks by neighbour; no group is gathered."""
     now = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct(), "edges")
     for _ in range(MOST_ROUNDS):
         if all_stars(now):
@@ -36,16 +36,24 @@ def all_stars(e: DataFrame) -> bool:
     return ends.groupBy("u").agg(ups.alias("ups"), downs.alias("downs")).where("ups > 1 or (ups > 0 and downs > 0)").isEmpty()
 
 
+def least_of(e: DataFrame, node: str, neighbour: str) -> tuple[DataFrame, DataFrame]:
+    """e with a salt made of the neighbour, and each node's smallest neighbour m, a row for each of its salts."""
+    salted = e.withColumn("salt", F.pmod(F.xxhash64(neighbour), F.lit(SALTS)).cast("int"))
+    each = salted.groupBy(node, "salt").agg(F.min(neighbour).alias("m"))
+    least = each.groupBy(node).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return salted, least.select(node, "m", F.explode("salts").alias("salt"))
+
+
 def large_star(e: DataFrame) -> DataFrame:
     """Larger neighbours of a node go to the smallest node of its neighbourhood."""
     both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.where(F.col("v") > F.col("u")).join(least, "u")
-    return joined.select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+    salted, least = least_of(both, "u", "v")
+    joined = salted.where(F.col("v") > F.col("u")).join(least, ["u", "salt"])
+    return joined.select(F.least("m", "u").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
 
 
 def small_star(e: DataFrame) -> DataFrame:
     """Smaller neighbours of a node, and the node, go to the smallest of them."""
-    least = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    joined = e.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-    return joined.unionByName(least.select(F.col("m").alias("lo"), "hi")).where("lo < hi").distinct()
+    salted, least = least_of(e, "hi", "lo")
+    other = F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo"))
+    return salted.join(least, ["hi", "salt"]).select(F.col("m").alias("lo"), other.alias("hi")).where("lo < hi").distinct()

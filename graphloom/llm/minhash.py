@@ -19,7 +19,7 @@ empty set and is linked with nothing). Two documents are linked if 100 * |inters
    no pairs but the links along which parts hang together. The components of the confirmed links are the result.
 
 Defined cases: null, empty and blank texts have n_shingles 0, are their own component and are kept; of rows that share an
-id, each is a row of the result with the same component; rows with a null id are kept and never linked; an empty table gives
+id, only the smallest text is read, and each is a row of the result with that text's facts; rows with a null id are kept and never linked; an empty table gives
 none. Only the id and text columns are read, so further columns may have any name. No cap is set on bucket or cluster sizes.
 """
 

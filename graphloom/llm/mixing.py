@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import n_words, read, with_row_ids, written
 
-WEIGHTS, MOST_TIMES, BLOCK, TINY, SEED = (1, 2, 3), 3, 2000, 1e-9, 11
+WEIGHTS, MOST_TIMES, BLOCK, TINY, SEED, MOST_LEVELS = (1, 2, 3), 3, 2000, 1e-9, 11, 60
 
 
 def targets(sizes: dict, weights=WEIGHTS, most: float = MOST_TIMES) -> dict:
@@ -120,13 +120,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_TIMES, block: int =
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("r", F.xxhash64("rid", F.lit(SEED)))
     open_ = rows.where(f"p > {TINY}").select("rid", "rank", "size", "p", "r", F.pmod(F.xxhash64("r"), "blocks").cast("int").alias("block"), (F.col("blocks") == 1).alias("last"))
     settled = []
-    for level in range(1, 30):
+    for level in range(1, MOST_LEVELS + 1):
         done = written(settle(open_), "settled")
         settled.append(done.where("p = 0 or p = 1").select("rid", "p"))
         rest = done.where("p > 0 and p < 1")
         counts = {r["rank"]: r["n"] for r in rest.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not counts:
             break
+        if level == MOST_LEVELS:
+            raise RuntimeError("the sampling did not settle")
         blocks = spark.createDataFrame([(k, math.ceil(n / block)) for k, n in counts.items()], "rank int, blocks int")
         open_ = rest.join(blocks, "rank").select("rid", "rank", "size", "p", "r", F.pmod(F.xxhash64("r", F.lit(level)), "blocks").cast("int").alias("block"), (F.col("blocks") == 1).alias("last"))
     chosen = settled[0]

@@ -81,6 +81,17 @@ def test_quality(spark, docs, odd):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("low", [(1 << 26) - 1, 3])
+def test_quality_repeats_of_hashes_that_agree_in_part(spark, monkeypatch, low):
+    """Windows whose hashes share all bits that are sorted, in turns; and places that need more bits than there are."""
+    monkeypatch.setattr(quality, "_LOW", low)
+    a, b, c = 5 << 40, (5 << 40) + 1, -(7 << 50)
+    lists = [[a, b, a], [a, b, a, b], [a, b], [c, a, b, c, b, 9], [a] * 5, [], [1, 2, 3, 1, 2, 9, 9]]
+    want = [len({i + k for i, x in enumerate(h) if h.count(x) > 1 for k in range(3)}) for h in lists]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, h array<long>")
+    assert [r["n"] for r in df.select("i", quality.repeated(F.col("h")).alias("n")).orderBy("i").collect()] == want
+
+
 def test_quality_separates(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fit = labels.where("doc_id % 2 = 0")
@@ -196,6 +207,26 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(rows.limit(0)).count() == 0
 
 
+def test_mixing_says_when_it_does_not_settle(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_LEVELS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mix(with_row_ids(docs), block=3)
+
+
+def test_row_ids(spark, odd):
+    rows = with_row_ids(odd).collect()
+    assert len({r["rid"] for r in rows}) == len(ODD)
+    assert [r["rid"] for r in with_row_ids(spark.createDataFrame([(4,), (9,)], "doc_id long")).collect()] == [4, 9]
+
+
+def test_components_of_a_hot_node(spark):
+    from graphloom.llm.components import components
+
+    edges = [(0, i) for i in range(1, 400)] + [(i, 1000 - i) for i in range(1, 400)] + [(2000 + i, 2001 + i) for i in range(40)] + [(5000, 5000), (None, 3)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in (0, *range(1, 400), *range(601, 1000))}, **{2000 + i: 2000 for i in range(41)}}
+
+
 def test_mixing(spark, docs, odd):
     assert mixing.targets({"a": 10, "b": 1000, None: 0}) == {"a": 30, "b": 980.0, None: 0}
     a, b = (sorted(tuple(r) for r in mixing.op8_source_mixing(spark, SF).collect()) for _ in range(2))
@@ -305,11 +336,18 @@ def test_chat_format(spark):
         assert sum(x["n"] for x in r["loss_runs"]) == len(r["formatted"])
         assert r["escaped"] == (r["conv_id"] in (1, None))
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+    cut = lambda runs: [r[0] for r in made.orderBy("conv_id").select(F.transform(chat_format.cut_by_mask(F.col("formatted"), runs), chat_format.unescape)).collect()]
+    own = [[t["text"] for t in r["turns"] if t["role"] == "assistant"] for r in made.orderBy("conv_id").collect()]
+    assert cut(F.col("loss_runs")) == own
+    longer = F.transform("loss_runs", lambda r, i: F.struct(F.when(i == 0, r["n"] + 1).otherwise(r["n"]).alias("n"), r["loss"].alias("loss")))
+    turned = F.transform("loss_runs", lambda r: F.struct(r["n"].alias("n"), (~r["loss"]).alias("loss")))
+    assert cut(longer) == [None] * len(own)
+    assert all(x != y for x, y in zip(cut(turned), own, strict=True))
 
 
-@pytest.mark.parametrize("hot", [lm_scoring.HOT, 40, 1])
+@pytest.mark.parametrize("hot", [lm_scoring.HOT, 40])
 def test_lm_scoring(spark, docs, odd, monkeypatch, hot):
-    """All documents against plain counting, with all, some and hardly any words and pairs frequent."""
+    """All documents against plain counting, with all or some words and pairs frequent."""
     monkeypatch.setattr(lm_scoring, "HOT", hot)
     monkeypatch.setattr(lm_scoring, "GATHER", 3000)
     ids = [r["doc_id"] for r in docs.orderBy("doc_id").limit(20).collect()]
@@ -337,8 +375,7 @@ def assert_losses(got, rows, good):
         assert g[:2] == x[:2] and (g[2:] == x[2:] if x[2] is None else g[2:] == pytest.approx(x[2:], rel=1e-9, abs=1e-9))
 
 
-@pytest.mark.parametrize("hot", [lm_scoring.HOT, 300])
-def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch, hot):
+def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch, hot=300):
     """More words than any fixed vocabulary, each pair with its own count; the same for repeated ids."""
     monkeypatch.setattr(lm_scoring, "HOT", hot)
     rng = np.random.default_rng(5)

@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_operators import WORD, brute_groups, brute_removed  # noqa: E402
+from test_operators import WORD, brute_groups  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,10 +27,8 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in after} == {i for i, (_, top) in groups.items() if i == top}
     before, after = seen["suffix_array_dedup"]
     order = sorted(before, key=lambda r: r["doc_id"])
-    left = {r["doc_id"]: b - gone for r, (b, gone, *_) in zip(order, brute_removed([r["text"] for r in order], 400), strict=True)}
-    got = {r["doc_id"]: r for r in after}
-    assert set(got) == {i for i, n in left.items() if n}
-    assert all(left[i] - 6 <= len(r["text"].encode()) <= left[i] and r["n_chars"] == len(r["text"]) for i, r in got.items() if left[i])
+    left, _ = brute_left(order)
+    assert {r["doc_id"]: r["text"] for r in after} == left and all(r["n_chars"] == len(r["text"]) for r in after)
     before, after = seen["source_mixing"]
     times = Counter(r["doc_id"] for r in after)
     assert max(times.values()) <= 3 and set(times) <= {r["doc_id"] for r in before}
@@ -64,7 +62,13 @@ def test_suffix_stage_cuts_passages_of_51_words(spark):
 def test_suffix_stage_on_documents(spark):
     """Exactly the bytes of repeated 400-byte strings and of repeated runs of 51 words go, with the white space in and between these."""
     df = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
-    rows = df.orderBy("doc_id").collect()
+    want, by_words = brute_left(df.orderBy("doc_id").collect())
+    assert by_words
+    assert {r["doc_id"]: r["text"] for r in pipeline.suffix_array_dedup(spark, df, SF).collect()} == want
+
+
+def brute_left(rows):
+    """What is left of each text, without those that lose all, and how many lose bytes to runs of words only."""
     raw = [r["text"].encode() for r in rows]
     spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
     words = [[b[x:y] for x, y in at] for b, at in zip(raw, spans, strict=True)]
@@ -84,5 +88,20 @@ def test_suffix_stage_on_documents(spark):
         left = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
         if left or not gone.any():
             want[r["doc_id"]] = left
-    assert by_words
-    assert {r["doc_id"]: r["text"] for r in pipeline.suffix_array_dedup(spark, df, SF).collect()} == want
+    return want, by_words
+
+
+ODD = [(1, None, "en", None, 0), (2, "", None, "a", 0), (3, " \n", "en", "a", 2), (4, "same words here " * 30, "en", "a", None), (4, "same words here " * 30, "en", "a", None), (None, "lost " * 70, "en", "b", 3), (5, "é word " * 2000, "fr", "b", 1)]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, blanks, repeats, long texts, an empty table, and further columns with the names that the stages use."""
+    odd = spark.createDataFrame([(*r, 1, "x", 2.0, "y") for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, rid int, kept string, score double, copies string")
+    for name, stage in pipeline.STAGES:
+        last = stage is pipeline.STAGES[-1][1]
+        for df in (odd, odd.limit(0)):
+            got = stage(spark, df, SF)
+            assert last or got.columns == list(pipeline.COLUMNS), name
+            assert set(r["doc_id"] for r in got.collect()) <= {r[0] for r in ODD}, name
+    assert pipeline.quality_rules(spark, odd, SF).where("text is null or n_chars = 0").count() == 0
+    assert sorted(str(r["doc_id"]) for r in pipeline.near_dedup(spark, odd, SF).collect()) == sorted(str(r[0]) for r in ODD)
