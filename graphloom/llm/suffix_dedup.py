@@ -19,7 +19,8 @@ anchor answers for the run of windows that chose it.
 
 ``word_runs`` does the same for runs of words, whatever white space is between them: anchors are chosen among runs of WORD_SEED
 words, and of the spans of repeated seeds all windows are compared by hash. ``cut_duplicates`` cuts these runs too when ``words``
-is given (the pipeline; op5 is about bytes only).
+is given (the pipeline), or counts their words only (op5, whose cuts are about bytes: a run of over 50 words may be shorter than
+LENGTH bytes).
 
 Defined cases: a null text is an empty text; texts shorter than LENGTH bytes keep all their bytes; matches never cross
 documents, but may lie, also overlapping, within one; rows that share an id or have none are documents of their own; an empty
@@ -41,6 +42,9 @@ from graphloom.llm.common import Prefix, batches_of, chunks, drop, mix, powers,
 LENGTH, SEED, PIECE, BATCH, BUCKET_BYTES, HOT = 400, 100, 1 << 20, 4096, 8 << 20, 8192
 WORD_SEED, SALTS = 13, 16
 
+#: A repeated run of so many words is a passage.
+PASSAGE = 51
+
 
 class Sums(Prefix):
     """Hashes of any runs of numbers."""
@@ -360,17 +364,17 @@ def merged(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED, words: int | None = None) -> DataFrame:
-    """All columns of docs, text replaced by what remains of it, with n_bytes, n_removed, n_spans, kept_sha256. The hash is
-    that of the remaining bytes; in the text, characters of which some bytes went are dropped. With words, runs of so many words
-    that start anywhere else too are cut as well."""
-    own = ("rid", "spans", "runs", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED, words: int | None = None, cut_words: bool = True) -> DataFrame:
+    """All columns of docs, text replaced by what remains of it, with n_bytes, n_removed, n_spans, kept_sha256, n_run_words. The hash
+    is that of the remaining bytes; in the text, characters of which some bytes went are dropped. With words, n_run_words is how many
+    words lie in runs of so many words that start anywhere else too (else 0), and these runs are cut as well if cut_words."""
+    own = ("rid", "spans", "runs", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_run_words")
     rows = with_row_ids(docs.drop(*own))
     both = rows.join(duplicate_ranges(rows, length, seed).hint("merge"), "rid", "left")
     both = (both.join(word_runs(rows, words).hint("merge"), "rid", "left") if words else both).drop("rid")
     names = [c for c in both.columns if c not in ("spans", "runs")]
     place = {c: both.columns.index(c) for c in both.columns}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*names).schema) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*names).schema) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_run_words long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,9 +384,10 @@ def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED, word
             for i, (spans, more) in enumerate(zip(batch.column(place["spans"]).to_pylist(), runs, strict=True)):
                 raw = data[starts[i] : starts[i + 1]].tobytes()
                 ranges = [(s["b"], s["e"]) for s in spans or ()]
-                if more:
+                more = merged((s["b"], s["e"]) for s in more or ())
+                if more and cut_words:
                     begin, end, _ = tokens(data[starts[i] : starts[i + 1]], np.array([0, len(raw)]))
-                    ranges += [(int(begin[b]), int(end[e - 1])) for b, e in merged((s["b"], s["e"]) for s in more)]
+                    ranges += [(int(begin[b]), int(end[e - 1])) for b, e in more]
                 ranges = merged(ranges)
                 kept, last = [], 0
                 for b, e in ranges:
@@ -390,17 +395,18 @@ def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED, word
                     last = e
                 rest = b"".join((*kept, raw[last:]))
                 texts.append(rest.decode("utf-8", "ignore"))
-                facts.append((len(raw), len(raw) - len(rest), len(ranges), hashlib.sha256(rest).hexdigest()))
+                facts.append((len(raw), len(raw) - len(rest), len(ranges), hashlib.sha256(rest).hexdigest(), sum(e - b for b, e in more)))
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(place[c]) for c in names]
-            more = [pa.array([f[k] for f in facts], pa.int64() if k < 3 else pa.string()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, *more], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            more = [pa.array([f[k] for f in facts], pa.string() if k == 3 else pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*columns, *more], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_run_words"])
 
     return both.mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return cut_duplicates(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = cut_duplicates(docs, words=PASSAGE, cut_words=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_run_words")
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}

@@ -119,7 +119,18 @@ def test_suffix_dedup(spark, docs, length, seed, batch, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH", batch)
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
     got = suffix_dedup.cut_duplicates(docs.select("doc_id", "text"), length, seed).orderBy("doc_id").collect()
-    assert [tuple(r)[2:] for r in got] == brute_removed([r["text"] for r in rows], length)
+    assert [tuple(r)[2:6] for r in got] == brute_removed([r["text"] for r in rows], length)
+
+
+def test_suffix_dedup_query(spark, docs):
+    """Bytes as in the contract, and the words in repeated runs of over 50 words."""
+    got = suffix_dedup.op5_suffix_dedup(spark, SF).orderBy("doc_id").collect()
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    assert [tuple(r)[1:5] for r in got] == brute_removed(texts, 400)
+    words = [WORD.findall(t) for t in texts]
+    n = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    runs = [len({i + k for i in range(len(w) - 50) if n[tuple(w[i : i + 51])] > 1 for k in range(51)}) for w in words]
+    assert [r["n_run_words"] for r in got] == runs and any(runs)
 
 
 def test_suffix_dedup_splits_hot_seeds(spark, monkeypatch):
@@ -133,7 +144,7 @@ def test_suffix_dedup_splits_hot_seeds(spark, monkeypatch):
     texts += [letters(50) + ends[i % 3] + shared[0] + ends[i // 3 % 3] + letters(50) for i in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = suffix_dedup.cut_duplicates(df, 40, 10).orderBy("doc_id").collect()
-    assert [tuple(r)[2:] for r in got] == brute_removed(texts, 40)
+    assert [tuple(r)[2:6] for r in got] == brute_removed(texts, 40)
 
 
 def test_suffix_dedup_family_and_pieces(monkeypatch):
