@@ -41,6 +41,21 @@ def relative_path(c: Column, root: Column, boundary: bool = True) -> Column:
     return F.when((c == root) | (c == base), F.lit("")).when(inside, below)
 
 
+def normal_path(c: Column) -> Column:
+    """The path without ``.``, empty parts and ``x/..``, so that one file has one path; ``..`` in front of all else stays in a
+    relative path. Links are not followed."""
+    rooted = F.startswith(c, F.lit("/"))
+    parts = F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
+
+    def step(done, p):
+        up = (p == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("")) != "..")
+        kept = F.when((p == "..") & rooted, done).otherwise(F.concat(done, F.array(p)))
+        return F.when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(kept)
+
+    done = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), done)).when(done == "", F.lit(".")).otherwise(done)
+
+
 def clamp_path(c: Column) -> Column:
     return F.when(F.length(c) > schema.LONGEST_PATH, F.lit(schema.LONG_PATH)).otherwise(c)
 
@@ -50,6 +65,22 @@ def simplify_anonymous(c: Column) -> Column:
     return F.replace(c, F.lit("(anonymous "), F.lit("(anon "))
 
 
+def short_name(qualified: Column) -> Column:
+    """What follows the last ``::`` that stands outside of parentheses and template arguments."""
+    bare = F.regexp_replace(F.regexp_replace(qualified, r"\([^()]*\)", ""), r"<[^<>]*>$", "")
+    return F.element_at(F.split(bare, "::"), -1)
+
+
+def location(file_id: Column, line: Column, column: Column) -> Column:
+    """A place in a file; an unknown file is INVALID_FILE_ID, an unknown line or column null."""
+    return F.struct(F.coalesce(file_id, F.lit(schema.INVALID_FILE_ID)).cast("long").alias("file_id"), line.cast("long").alias("line"), column.cast("long").alias("column"))
+
+
+def body_range(begin: Column, end: Column) -> Column:
+    """From one location to another in the same file, else null."""
+    return F.when(begin["file_id"] == end["file_id"], F.struct(begin.alias("begin"), end.alias("end")))
+
+
 def macro_key(name: Column) -> Column:
     return F.concat(F.lit(schema.MACRO_PREFIX), name)
 

@@ -68,8 +68,8 @@ def assigned_file_ids(paths: DataFrame, known: DataFrame, above: int | None = No
 
 
 def located(rows: DataFrame, root: str, files: DataFrame) -> DataFrame:
-    """Adds location_file_id: of the file's path below root; -1 outside the project."""
-    path = scalars.clamp_path(scalars.relative_path(F.col("file"), F.lit(root)))
+    """Adds location_file_id: of the file's normal path below root; -1 outside the project."""
+    path = scalars.clamp_path(scalars.relative_path(scalars.normal_path(F.col("file")), F.lit(root)))
     with_path = rows.withColumn("filepath", F.when(path != "", path))
     out = with_path.join(files, "filepath", "left")
     return out.withColumn("location_file_id", F.coalesce("filepath_id", F.lit(schema.INVALID_FILE_ID)).cast("long")).drop("filepath_id")

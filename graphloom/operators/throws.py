@@ -48,14 +48,21 @@ def caught(types: DataFrame, closure: DataFrame) -> DataFrame:
     return types.where((F.col("type") == F.col("catch_type")) | (F.col("catch_type") == ANY)).unionByName(types.where(F.col("type") != F.col("catch_type")).join(known, ["type", "catch_type"], "left_semi")).distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
+def visible(edges: DataFrame) -> DataFrame:
+    """The calls whose callee's body is seen in the TU (column callee_has_body): what a search within TUs follows."""
+    return edges.where("callee_has_body")
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, closure: DataFrame, most: int | None = None) -> DataFrame:
     """usr, type that escape. seeds: usr, type. edges: usr, callee, catch_type (null: the call is not guarded). Semi-naive: each
-    round joins only what is new."""
+    round joins only what is new. ``most`` bounds the calls between the throw and the function."""
     flat = settled(edges.select("usr", "callee", "catch_type").distinct())
     shield = closure.select(F.col("derived").alias("type"), F.col("base").alias("catch_type"), F.lit(True).alias("_held"))
     new = settled(seeds.select("usr", "type").distinct())
     parts = [new]
-    for _ in range(MOST_ROUNDS):
+    for n in range(MOST_ROUNDS):
+        if n == most:
+            break
         step = new.withColumnRenamed("usr", "callee").join(flat, "callee")
         step = step.where(F.col("catch_type").isNull() | ((F.col("catch_type") != ANY) & (F.col("catch_type") != F.col("type")))).join(shield, ["type", "catch_type"], "left")
         step = step.where(F.col("_held").isNull()).select("usr", "type").distinct()
@@ -70,7 +77,12 @@ def propagate(seeds: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFra
         if len(parts) >= 16:
             merged = found.unionByName(new)
             parts = [settled(merged)]
-    raise RuntimeError("no fixpoint")
+    else:
+        raise RuntimeError("no fixpoint")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
 
 
 def analyse(throws: DataFrame, calls: DataFrame, scopes: DataFrame, class_bases: DataFrame, rethrows: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars
 from graphloom.operators import incremental, ingest, onehop, paths, throws
 from graphloom.sources.fixtures import SQL, Fixture
-from graphloom.sources.tables import numbered
+from graphloom.sources.store import Store
+from graphloom.sources.tables import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -136,13 +139,26 @@ def next_ids(f):
     return out
 
 
+def _store(f) -> Store:
+    return Store(f.spark, f"{shared_folder(f.spark)}/store-{uuid.uuid4().hex}")
+
+
+@query("; select caller_usr, usr, count(*) as n, min(func_call_id) as first_id from func_calls group by caller_usr, usr")
+def stored_calls(f):
+    """Written to a store in two appends beside another project's rows, and read again."""
+    store = _store(f)
+    rows = f.func_calls().withColumn("project_id", F.lit(1))
+    for part in (rows.where("func_call_id % 2 = 0"), rows.where("func_call_id % 2 = 1"), rows.limit(50).withColumn("project_id", F.lit(2))):
+        store.append("func_calls", part)
+    return store.read("func_calls", 1).groupBy("caller_usr", "usr").agg(F.count(F.lit(1)).alias("n"), F.min("func_call_id").alias("first_id"))
+
+
 @query("""with p as (select r_regionkey + 1 as id, '/proj/' || lower(r_name) || '/' as root from region), w as (select '/proj/asia/' as root union all select '/proj/new/')
 select w.root as project_root, coalesce(p.id, (select max(id) from p) + 1)::bigint as project_id from w left join p using (root)""")
 def project_get_or_create(f):
-    wanted = f.spark.createDataFrame([("/proj/asia/",), ("/proj/new/",)], "project_root string")
-    known = f.projects()
-    new = numbered(wanted.join(known, "project_root", "left_anti"), "project_id", ["project_root"], known.agg(F.coalesce(F.max("project_id"), F.lit(0))).first()[0])
-    return wanted.join(known, "project_root").select("project_root", "project_id").unionByName(new.select("project_root", "project_id"))
+    store = _store(f)
+    store.append("projects", f.projects())
+    return f.spark.createDataFrame([(root, store.project(root)) for root in ("/proj/asia/", "/proj/new/")], "project_root string, project_id long")
 
 
 @query("""select s_suppkey, case when s_suppkey % 3 = 0 then '/proj/x/' || s_name when s_suppkey % 3 = 1 then '/proj/xy/' || s_name else '/proj/x' end as file,
@@ -230,7 +246,7 @@ select type, catch_type from t, k where type = catch_type or base = catch_type""
 def catch_filter(f):
     types = f.class_bases().select(F.col("derived").alias("type"))
     catches = f.table("region").select(F.concat(F.lit("R"), F.col("r_regionkey")).alias("catch_type")).unionByName(f.spark.createDataFrame([("N3",)], "catch_type string"))
-    asked = types.withColumn("catch_type", F.explode(F.lit([r[0] for r in catches.collect()])))
+    asked = types.join(F.broadcast(catches.groupBy().agg(F.collect_set("catch_type").alias("all")))).select("type", F.explode("all").alias("catch_type"))
     return throws.caught(asked, throws.base_closure(f.class_bases()))
 
 
@@ -338,3 +354,69 @@ def string_functions(f):
         scalars.to_epoch(scalars.from_epoch(F.col("p_partkey").cast("long") * 86399)).alias("seconds"),
         scalars.is_macro(usr).cast("int").alias("macro"),
     )
+
+
+@query(f"{_UNITS} select tu from r where reason not in ('missing', 'fresh')")
+def units_to_index(f):
+    return incremental.to_index(f.units(), f.includes())
+
+
+@query(f"{_UNITS} select tu from r where reason not in ('missing', 'fresh') and tu = 7")
+def single_unit_to_index(f):
+    return incremental.to_index(f.units(), f.includes(), only="7")
+
+
+_ASKED = (("src/c1.cc", 0), ("src/c1.cc", 4_000_000_000), ("src/c2.cc", 800_000_000), ("src/none.cc", 5))
+
+
+@query(f"""with q(filepath, seconds) as (values {", ".join(map(str, _ASKED))}), v as (select 'src/c' || o_custkey || '.cc' as filepath, epoch(max(o_orderdate))::bigint as last from orders group by 1)
+select filepath, seconds::bigint as seconds, (v.last is not null)::int as known, (seconds > coalesce(v.last, 0))::int as obsolete, coalesce(v.last, 0)::bigint as last_index from q left join v using (filepath)""")
+def file_checks(f):
+    files = f.filepaths().withColumn("create_time", F.col("create_time").cast("timestamp"))
+    rows = [(p, s, int(incremental.file_known(files, p)), int(incremental.file_obsolete(files, p, s)), incremental.last_index_time(files, p)) for p, s in _ASKED]
+    return f.spark.createDataFrame(rows, "filepath string, seconds long, known int, obsolete int, last_index long")
+
+
+@query("""with s as (select s_suppkey, s_nationkey, s_suppkey % 4 as k from supplier),
+p as (select s_suppkey, case k when 0 then '/proj/x/./n' || s_nationkey || '.h' when 1 then '/proj/x//a/../n' || s_nationkey || '.h' when 2 then '/proj/xy/n' || s_nationkey || '.h' else '/usr/include/n.h' end as file,
+  case when k < 2 then 'n' || s_nationkey || '.h' end as filepath, s_nationkey, k from s)
+select s_suppkey, file, filepath, case when k < 2 and s_nationkey % 2 = 0 then s_nationkey + 100 else -1 end::bigint as location_file_id from p""")
+def located_files(f):
+    k, name = F.col("s_suppkey") % 4, F.concat(F.lit("n"), F.col("s_nationkey"), F.lit(".h"))
+    file = F.when(k == 0, F.concat(F.lit("/proj/x/./"), name)).when(k == 1, F.concat(F.lit("/proj/x//a/../"), name)).when(k == 2, F.concat(F.lit("/proj/xy/"), name)).otherwise("/usr/include/n.h")
+    files = f.table("nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey"), F.lit(".h")).alias("filepath"), (F.col("n_nationkey") + 100).alias("filepath_id"))
+    return ingest.located(f.table("supplier").select("s_suppkey", file.alias("file")), "/proj/x", files).select("s_suppkey", "file", "filepath", "location_file_id")
+
+
+@query("""select s_suppkey, case s_suppkey % 4 when 0 then '/a/c/x' || s_suppkey when 1 then 'a/x' || s_suppkey when 2 then '../x' || s_suppkey else '/x' || s_suppkey end as path from supplier""")
+def normal_paths(f):
+    raw = F.concat(F.get(F.array(*(F.lit(p) for p in ("/a/b/../c/./", "./a//", "a/../../", "/../"))), F.col("s_suppkey") % 4), F.lit("x"), F.col("s_suppkey"))
+    return f.table("supplier").select("s_suppkey", scalars.normal_path(raw).alias("path"))
+
+
+@query("select p_partkey, p_brand as short from part")
+def short_names(f):
+    k, ends = F.col("p_partkey") % 3, F.col("p_brand")
+    name = F.when(k == 0, F.concat(F.lit("ns::"), ends)).when(k == 1, F.concat(F.lit("(anonymous namespace)::T<a::b>::"), ends, F.lit("<c::d>"))).otherwise(F.concat(ends, F.lit("(x::y)")))
+    return f.table("part").select("p_partkey", scalars.short_name(name).alias("short"))
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_quantity <= 25 then l_linenumber end::bigint as first_line, case when l_quantity <= 25 then l_linenumber + 10 end::bigint as last_line from lineitem""")
+def body_ranges(f):
+    begin = scalars.location(F.col("l_orderkey"), F.col("l_linenumber"), F.lit(1))
+    end = scalars.location(F.when(F.col("l_quantity") <= 25, F.col("l_orderkey")), F.col("l_linenumber") + 10, F.lit(2))
+    rows = f.table("lineitem").withColumn("body", scalars.body_range(begin, end))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("body.begin.line").alias("first_line"), F.col("body.end.line").alias("last_line"))
+
+
+_SEEN = "(substr(w.usr, 7)::bigint % 4 <> 0)"
+
+
+@query(f""", {_ESCAPE}, near_by(usr, type, d) as (select usr, type, 0 from thrown union
+ select w.caller_usr, e.type, e.d + 1 from near_by e join ways w on w.usr = e.usr where e.d < 4 and {_SEEN} and (w.catch_type is null or not exists (select 1 from held h where h.type = e.type and h.catch_type = w.catch_type)))
+select distinct usr, type from near_by""")
+def escaping_types_in_units(f):
+    """Within four calls, along calls whose callee's body is seen."""
+    seen = F.substring("usr", 7, 20).cast("long") % 4 != 0
+    edges = f.func_calls(ids=False).select(F.col("caller_usr").alias("usr"), F.col("usr").alias("callee"), "catch_type", seen.alias("callee_has_body"))
+    return throws.propagate(f.throws(), throws.visible(edges), throws.base_closure(f.class_bases()), most=4)

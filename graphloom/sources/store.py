@@ -9,7 +9,8 @@ from graphloom.sources import schema, tables
 
 
 class Store:
-    """Tables under a base folder. A TU's rows become visible when its row in ``filepaths`` is written, which comes last."""
+    """Tables under a base folder, with a single writer. A TU's row in ``filepaths`` is written last and marks it as done, so that a
+    TU without it is indexed again; readers do not look at the marks."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")

@@ -23,10 +23,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """This application's folder under spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this
+    machine."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _ROOTS[app] = f"{(base or tempfile.mkdtemp(prefix='graphloom-')).rstrip('/')}/graph-{app}"
 
         def tidy(path=_ROOTS[app]):

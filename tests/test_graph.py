@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from graphloom.__main__ import main
 from graphloom.engine import Engine
 from graphloom.functions import scalars
 from graphloom.operators import onehop, paths, throws
@@ -94,7 +95,7 @@ def occurrence(tu, kind, name, is_def=False, inside=None, file=None, throws_=Fal
     return (tu, ok, kind, False, is_def, macro, False, name, name, inside, "Function" if inside else None, file or f"/p/{tu}", 1, throws_)
 
 
-def test_engine(spark, tmp_path):
+def test_engine(spark, tmp_path, capsys):
     rows = [
         occurrence("a.cc", "Function", "f", True, throws_=True),
         occurrence("a.cc", "Function", "g", inside="f"),
@@ -114,6 +115,11 @@ def test_engine(spark, tmp_path):
     assert steps(engine.call_path("f", "g")) == ["f", "g"]
     assert engine.index(df, datetime(2024, 1, 2))["func_definitions"] == 0
     assert Engine(spark, str(tmp_path / "store"), "/p/").project_id == 1
+    ask = lambda *a: main(["--base", str(tmp_path / "store"), "--root", "/p/", *a], spark)
+    assert [ask(*a) for a in (("--callee_of", "f"), ("--callee_of", "g"), ("--callee_of", "no"), ("--caller_of", "g"), ("--caller_of", "f"))] == [0, 0, 1, 0, 1]
+    capsys.readouterr()
+    assert [ask(*a) for a in (("--callpath", "f;g"), ("--callpath", "f"), ("--callpath", "no;g"), ("--throwpath", "f"), ("--throwpath", "no"))] == [0, 1, 1, 0, 1]
+    assert capsys.readouterr().out.splitlines()[:4] == ["BEGIN path f;g", "f", "g", "END path f;g: 2"]
     assert Engine(spark, str(tmp_path / "store"), "/q/").project_id == 2
 
 
@@ -135,6 +141,9 @@ def test_scalars(spark):
     assert get(scalars.relative_path(F.lit("/p/src/x.cc"), F.lit("/p/"))) == "src/x.cc"
     assert get(scalars.relative_path(F.lit("/p/"), F.lit("/p/"))) == ""
     assert get(scalars.relative_path(F.lit("/pq/x"), F.lit("/p"))) is None
+    assert [get(scalars.normal_path(F.lit(p))) for p in ("", "/", "a/..", "/a/../../b", "../../a/./b//c/..")] == [".", "/", ".", "/b", "../../a/b"]
+    assert get(scalars.short_name(F.lit("a::b<c::d>"))) == "b"
+    assert get(scalars.body_range(scalars.location(F.lit(None), F.lit(1), F.lit(1)), scalars.location(F.lit(None), F.lit(2), F.lit(1)))["begin"]["file_id"]) == -1
     assert get(scalars.clamp_path(F.lit("x" * 2049))) == "FILE_PATH_TOO_LONG"
 
 
