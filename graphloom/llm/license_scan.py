@@ -1,8 +1,10 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased. Of each template the runs of SHINGLE words are
-hashed and winnowed: of each WINDOW successive hashes the smallest (the last of equal ones) is a fingerprint. The index maps
-fingerprints to template and place; it holds templates only, so its size does not depend on the corpus, and it is sent to
+hashed and winnowed: of each WINDOW successive hashes the smallest (the last of equal ones) is a fingerprint; a run of
+SHINGLE + WINDOW - 1 words that a text shares proposes it. Words that differ cut a template of n words, of which LEAST_COVERAGE match,
+into runs of which one has 4 words at least if n is LONG or more, and 2 if it is 5 or more; so of templates below LONG words
+all runs of SHORT_SHINGLE words are fingerprints. The index maps fingerprints to template and place; it holds templates only, so its size does not depend on the corpus, and it is sent to
 every task. Every shingle of a document is looked up; a hit behind the template's last match proposes a
 template at a diagonal, which alignment within BAND of it (match 1, mismatch and gap -1, free ends) confirms.
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, read, shingles, text_bytes
 
-SHINGLE, WINDOW, BAND, LEAST_COVERAGE = 3, 3, 8, 0.8
+SHINGLE, WINDOW, BAND, LEAST_COVERAGE = 3, 2, 8, 0.8
+LONG, SHORT_SHINGLE = 16, 2
 
 #: The wording of the notices.
 TEMPLATES = {
@@ -69,31 +72,42 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class Index:
-    """Sorted fingerprints with the template and the place of each."""
+    """Sorted fingerprints with the template and the place of each; a table for each number of words that is hashed together."""
 
-    def __init__(self, templates: dict[str, str], shingle: int = SHINGLE):
-        self.shingle, self.names, self.words = shingle, sorted(templates), []
-        keys, which, place = [], [], []
+    def __init__(self, templates: dict[str, str]):
+        self.names, self.words = sorted(templates), []
+        found: dict[int, list] = {}
         for t, name in enumerate(self.names):
             raw = np.frombuffer(templates[name].encode(), np.uint8)
             _, _, h, _ = split(raw, np.array([0, len(raw)]))
             self.words.append(h)
-            runs = shingles(h, min(shingle, max(1, len(h))))
-            at = winnow(runs)
-            keys.append(runs[at])
-            which.append(np.full(len(at), t))
-            place.append(at)
-        keys, self.which, self.place = np.concatenate(keys), np.concatenate(which), np.concatenate(place)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.which, self.place = keys[order], self.which[order], self.place[order]
-
-    def hits(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in runs, template and place in the template of every hit."""
-        lo, hi = np.searchsorted(self.keys, runs), np.searchsorted(self.keys, runs, "right")
-        some = np.flatnonzero(hi > lo)
-        many = (hi - lo)[some]
-        entry = np.repeat(lo[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(some, many), self.which[entry], self.place[entry]
+            k = min(SHINGLE if len(h) >= LONG else SHORT_SHINGLE, max(1, len(h)))
+            runs = shingles(h, k)
+            at = winnow(runs, WINDOW if len(h) >= LONG else 1) if len(runs) else np.zeros(0, np.int64)
+            found.setdefault(k, []).append((runs[at], np.full(len(at), t), at))
+        self.tables = {}
+        for k, parts in found.items():
+            columns = [np.concatenate([p[c] for p in parts]) for c in range(3)]
+            order = np.argsort(columns[0], kind="stable")
+            self.tables[k] = [c[order] for c in columns]
+
+    def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For words of texts, first being the first word of each (and the end): text, place in the words, template and place in the
+        template of every hit, by text and place."""
+        out = []
+        for k, (keys, which, place) in sorted(self.tables.items()):
+            runs = shingles(h, k)
+            lo, hi = np.searchsorted(keys, runs), np.searchsorted(keys, runs, "right")
+            some = np.flatnonzero(hi > lo)
+            many = (hi - lo)[some]
+            entry = np.repeat(lo[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = np.repeat(some, many)
+            doc = np.searchsorted(first, at, "right") - 1
+            inside = at + k <= first[doc + 1]
+            out.append((doc[inside], at[inside], which[entry][inside], place[entry][inside]))
+        doc, at, which, place = (np.concatenate([o[c] for o in out]) for c in range(4)) if out else (np.zeros(0, np.int64) for _ in range(4))
+        order = np.lexsort((at, doc))
+        return doc[order], at[order], which[order], place[order]
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -155,12 +169,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
             for i, j in chunks(starts):
                 part, cut = data[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
                 begin, end, h, first = split(part, cut)
-                at, which, place = index.hits(shingles(h, index.shingle))
-                doc = np.searchsorted(first, at, "right") - 1
-                inside = at + index.shingle <= first[doc + 1]
-                at, which, place, doc = at[inside], which[inside], place[inside], doc[inside]
-                for x in np.unique(doc):
-                    own, lo, hi = doc == x, first[x], first[x + 1]
+                doc, at, which, place = index.hits(h, first)
+                edges = np.flatnonzero(np.diff(doc, prepend=-1))
+                for x, i0, i1 in zip(doc[edges], edges, [*edges[1:], len(doc)], strict=False):  # without hits there is no edge
+                    own, lo, hi = slice(i0, i1), first[x], first[x + 1]
                     for name, m, coverage, a, b in scan_text(index, h[lo:hi], at[own] - lo, which[own], place[own], least):
                         raw = part[cut[x] : cut[x + 1]]
                         s, e = (len(raw[: p - cut[x]].tobytes().decode("utf-8")) for p in (begin[lo + a], end[lo + b]))

@@ -399,6 +399,40 @@ def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch, hot=300):
     assert_losses(lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "i long")), [(i, t.split()) for i, t in rows], good)
 
 
+def brute_best(words):
+    """The best match of any template in a text, aligned at every place without a band: matched words, first place, name."""
+    index = license_scan.Index(license_scan.TEMPLATES)
+    found = []
+    for name, template in zip(index.names, index.words):
+        m, a, _ = license_scan.align(template, words, 0, len(words) + len(template))
+        if m / len(template) >= license_scan.LEAST_COVERAGE:
+            found.append((-m, a, name))
+    return min(found, default=None)
+
+
+def test_license_scan_finds_edited_notices(spark):
+    """Notices with words changed, lost and put in, at each place of the short ones and at many of the long ones."""
+    rng = np.random.default_rng(6)
+    texts = ["no notice here at all under the license of the work"]
+    for name, t in license_scan.TEMPLATES.items():
+        w = t.replace("-", " ").split()
+        for i in range(len(w)) if len(w) < license_scan.LONG else rng.integers(0, len(w), 3):
+            texts += [" ".join(["before", *w[:i], "zzz", *w[i + 1 :], "after"]), " ".join([*w[:i], *w[i + 1 :]]), " ".join([*w[:i], "zzz", *w[i:]])]
+        if len(w) >= license_scan.LONG:
+            gone = set(rng.choice(len(w), len(w) // 6, replace=False).tolist())
+            texts.append(" ".join("zzz" if i in gone else x for i, x in enumerate(w)))
+    got = {}
+    for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add((r["license"], r["matched_words"]))
+    found = 0
+    for k, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        best = brute_best(license_scan.split(raw, np.array([0, len(raw)]))[2])
+        assert (best is None and k not in got) or (best[2], -best[0]) in got[k], t
+        found += best is not None
+    assert found > 100
+
+
 def test_license_scan(spark, odd):
     mit = license_scan.TEMPLATES["MIT-text"]
     w = mit.split()
