@@ -7,7 +7,8 @@ share of bits in which they agree.
 
 ``within`` finds all fingerprints within a Hamming radius by permuted block tables: the bits are cut into BLOCKS blocks,
 and for each choice of BLOCKS - radius of them there is a table keyed by those blocks. Two fingerprints that differ in at
-most radius bits agree in one table's key at least; the distance is then confirmed.
+most radius bits agree in one table's key at least; the distance is then confirmed. The query asks it for every row whose id is
+divisible by QUERY_EACH, against all rows: n_within counts the others that are found. Equal fingerprints go in as one, with their number.
 
 Defined cases: a null text is an empty text; a text without words has the fingerprint of zeros; rows that share an id follow
 each other by text; a single row is its own next document; an empty table gives none. Only the id and text columns are
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import let, read, words
+from graphloom.llm.common import let, read, words, written
 
-SHINGLE, BITS, BLOCKS = 5, 128, 5
+SHINGLE, BITS, BLOCKS, RADIUS, QUERY_EACH, SALTS = 5, 128, 5, 3, 20, 8
 ROWS_PER_RANGE, MOST_RANGES, STRIDE = 5_000, 100_000, 300
 _PAIR = (1 << 32) | 1
 
@@ -65,19 +66,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - distance(a, b) / F.lit(float(BITS))
 
 
-def within(queries: DataFrame, against: DataFrame, radius: int = 3) -> DataFrame:
-    """query, match, distance: all pairs of distinct fingerprints of ``queries`` and ``against`` (each with a column
-    fingerprint) that differ in at most ``radius`` bits. Works on distinct fingerprints; join back for the rows."""
-    cuts = [BITS // 4 * k // BLOCKS for k in range(BLOCKS + 1)]
+def halves(fp: Column) -> list[Column]:
+    """A fingerprint as longs of 64 bits."""
+    w = words_of(fp)
+    return [F.shiftleft(w[k], 32).bitwiseOR(w[k + 1]) for k in range(0, len(w), 2)]
+
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        fp = F.col("fingerprint")
-        blocks = [F.substring(fp, a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        keys = [F.concat(F.lit(f"{t}:"), *(blocks[i] for i in chosen)) for t, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - radius))]
-        return df.select("fingerprint").distinct().select(fp.alias(name), F.explode(F.array(*keys)).alias("_key"))
+def within(queries: DataFrame, against: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """query, match, distance, and n where ``against`` has it: all pairs of distinct fingerprints of ``queries`` and ``against``
+    (each with a column fingerprint, in ``against`` once each) that differ in at most ``radius`` bits, each pair once.
 
-    pairs = tables(queries, "query").join(tables(against, "match"), "_key").select("query", "match", distance(F.col("query"), F.col("match")).alias("distance"))
-    return pairs.where(F.col("distance") <= radius).distinct()
+    A pair counts only in the first table where it agrees, so nothing is made distinct. A frequent key is dealt to SALTS tasks by
+    match (adaptive execution splits it further); the queries are repeated for each. A radius of BLOCKS or more is refused."""
+    if not 0 <= radius < BLOCKS:
+        raise ValueError(f"the radius must lie between 0 and {BLOCKS - 1}")
+    cuts = [BITS // 4 * k // BLOCKS for k in range(BLOCKS + 1)]
+    tables = list(combinations(range(BLOCKS), BLOCKS - radius))
+
+    def entries(df: DataFrame, name: str, salt: Column, *more: str) -> DataFrame:
+        blocks = [F.substring("fingerprint", a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *(blocks[i] for i in chosen)).alias("key")) for t, chosen in enumerate(tables)]
+        each = df.select(F.array(*halves(F.col("fingerprint"))).alias("h"), F.col("fingerprint").alias(name), *more, F.explode(F.array(*keys)).alias("_k"))
+        return each.select(name, *more, *(F.col("h")[k].alias(f"{name}{k}") for k in range(BITS // 64)), F.col("_k.t").alias(f"{name}_t"), F.col("_k.key").alias("_key"), salt.alias("_salt"))
+
+    q = entries(queries.select("fingerprint").distinct(), "query", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    m = entries(against, "match", F.pmod(F.xxhash64("match"), F.lit(SALTS)).cast("int"), *(["n"] if "n" in against.columns else []))
+    pairs = q.join(m, ["_key", "_salt"])
+    differ = [F.col(f"query{k}").bitwiseXOR(F.col(f"match{k}")) for k in range(BITS // 64)]
+    agreed = F.lit(0)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        mask = ((1 << 4 * (b - a)) - 1) << (BITS - 4 * b)
+        parts = [d.bitwiseAND(F.lit(signed(mask >> (BITS - 64 * (k + 1)) & (1 << 64) - 1))) for k, d in enumerate(differ)]
+        agreed = agreed + F.when(sum((F.bit_count(x) for x in parts), F.lit(0)) == 0, F.lit(1 << i)).otherwise(F.lit(0))
+    first = [next((t for t, chosen in enumerate(tables) if all(bits >> i & 1 for i in chosen)), -1) for bits in range(1 << BLOCKS)]
+    apart = sum((F.bit_count(d) for d in differ), F.lit(0))
+    here = F.get(F.array(*map(F.lit, first)), agreed)
+    kept = pairs.where((apart <= radius) & (F.col("query_t") == F.col("match_t")) & (here == F.col("query_t")))
+    return kept.select("query", "match", *(["n"] if "n" in against.columns else []), apart.alias("distance"))
+
+
+def signed(value: int) -> int:
+    """The 64 bits of a value as a signed long."""
+    return value - (1 << 64) if value >> 63 else value
+
+
+def with_neighbours(found: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Adds n_within to a table of doc_id and fingerprint: for each row whose id is divisible by QUERY_EACH the number of other rows
+    whose fingerprints differ from its own in at most ``radius`` bits; for other rows null."""
+    asks = F.coalesce(F.col("doc_id") % QUERY_EACH == 0, F.lit(False))
+    counts = found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    near = within(found.where(asks), counts, radius).groupBy(F.col("query").alias("fingerprint")).agg((F.sum("n") - 1).alias("n_within"))
+    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = found.where(asks).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    answered = asked.join(near, ["fingerprint", "_salt"]).select(*found.columns, "n_within")
+    return answered.unionByName(found.where(~asks).withColumn("n_within", F.lit(None).cast("long")))
 
 
 def constant(values: list, kind: str) -> Column:
@@ -128,7 +170,8 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = found.groupBy(*key).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
     led = one.withColumn("_after", F.lead("fingerprint").over(Window.partitionBy("_range").orderBy("_at"))).where("_own")
     near = lambda c: likeness(F.col("fingerprint"), F.col(c))
-    return led.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_after").alias("near_next"))
+    made = led.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_after").alias("near_next"))
+    return with_neighbours(written(made, "fingerprints"))
 
 
 QUERIES = {"op6_document_fingerprints": op6_document_fingerprints}

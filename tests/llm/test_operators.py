@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -194,6 +195,32 @@ def test_simhash(spark, docs, odd):
     pairs = {(r["query"], r["match"]) for r in simhash.within(fps, fps, 3).collect()}
     rows = [r[0] for r in fps.collect()]
     assert pairs == {(a, b) for a in rows for b in rows if bin(int(a, 16) ^ int(b, 16)).count("1") <= 3}
+    values = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
+    counts = {i: sum(bin(a ^ b).count("1") <= simhash.RADIUS for b in values.values()) - 1 if i % 20 == 0 else None for i, a in values.items()}
+    assert {r["doc_id"]: r["n_within"] for r in got} == counts
+
+
+@pytest.mark.parametrize("radius", range(5))
+def test_simhash_search(spark, radius):
+    rng = random.Random(radius)
+    seeds = [rng.getrandbits(128) for _ in range(6)]
+    values = [s ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(7))) for s in seeds for _ in range(60)] + seeds * 20
+    rows = [(i if i % 7 else None, f"{v:032x}", "x") for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "doc_id long, fingerprint string, n string")
+    near = simhash.with_neighbours(table.withColumnRenamed("n", "query"), radius).collect()
+    want = [(i, f"{v:032x}", sum(bin(v ^ o).count("1") <= radius for o in values) - 1 if i and i % 20 == 0 else None) for (i, _, _), v in zip(rows, values, strict=True)]
+    assert sorted(((r["doc_id"], r["fingerprint"], r["n_within"]) for r in near), key=str) == sorted(want, key=str)
+    pairs = [(r["query"], r["match"], r["distance"]) for r in simhash.within(table, table.select("fingerprint").distinct(), radius).collect()]
+    distinct = set(values)
+    assert sorted(pairs) == sorted((f"{a:032x}", f"{b:032x}", bin(a ^ b).count("1")) for a in distinct for b in distinct if bin(a ^ b).count("1") <= radius)
+
+
+def test_simhash_search_refuses_wide_radii(spark):
+    table = spark.createDataFrame([("0" * 32,)], "fingerprint string")
+    for radius in (-1, 5):
+        with pytest.raises(ValueError):
+            simhash.within(table, table, radius)
+    assert simhash.with_neighbours(table.withColumn("doc_id", F.lit(20)).limit(0)).count() == 0
 
 
 def test_simhash_ranges(spark, docs, monkeypatch):
