@@ -9,7 +9,8 @@ empty set and is linked with nothing). Two documents are linked if 100 * |inters
 2. Documents with equal sets are one class, named by its smallest id. Only classes go on, so groups of copies cost nothing.
 3. In each bucket of a band, the classes are tied to the smallest one (never to each other); the components of these ties
    are the clusters in which all links of the bands lie.
-4. A cluster's texts meet in blocks of at most BLOCK classes. A block's full sets are intersected at once (one sparse
+4. A cluster's texts meet in blocks of about BLOCK classes or BLOCK * UNIT bytes, whichever is less (a longer text counts for
+   more). A block's full sets are intersected at once (one sparse
    matrix product), which confirms links exactly. From each part of a block that hangs together, if not of one class, its member with
    most links goes to the next level, until a cluster fits one block or blocks stop shrinking.
 5. What blocks kept apart: in each bucket that still holds different parts, the signatures (a byte of each value) are
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, shingles, text_bytes, tokens, written
 from graphloom.llm.components import components
 
-PERMUTATIONS, ROWS, BLOCK, SIMILAR, SIGMAS = 64, 4, 512, 80, 5.5
+PERMUTATIONS, ROWS, BLOCK, SIMILAR, SIGMAS, UNIT = 64, 4, 512, 80, 5.5, 1 << 16
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -186,10 +187,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     clusters = written(components(ties, "center", "cid").select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
     drop(ties)
     # the texts of cluster members, moved once for all levels
-    members = written(clusters.hint("merge").join(docs.withColumnRenamed("doc_id", "cid"), "cid").select("cid", "cluster", "text"), "members")
-    links, active, apart = [], clusters, False
+    members = written(clusters.hint("merge").join(docs.withColumnRenamed("doc_id", "cid"), "cid").select("cid", "cluster", "text", units(F.col("text")).alias("units")), "members")
+    links, active, apart = [], members.select("cid", "cluster", "units"), False
     for level in range(20):
-        sizes = active.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+        sizes = active.groupBy("cluster").agg(F.sum("units").alias("size"))
         dealt = active.join(sizes, "cluster").withColumn("block2", F.pmod(F.xxhash64("cid", F.lit(level)), F.ceil(F.col("size") / block)).cast("int"))
         found = written(confirm_blocks(dealt.join(members.select("cid", "text"), "cid").select(F.col("cluster").alias("block"), "block2", "cid", "text"), k, similar), "links")
         links.append(found)
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
         apart = True
         before = active.join(large, "cluster", "left_semi")
         tops = found.groupBy(F.col("center").alias("cid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid")
-        after = written(before.join(tops, "cid", "left_semi").select("cid", "cluster"), "active")
+        after = written(before.join(tops, "cid", "left_semi").select("cid", "cluster", "units"), "active")
         shrunk = after.count() < 0.7 * before.count()
         active = after
         if not shrunk:
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     for more in links[1:]:
         edges = edges.unionByName(more)
     if apart:
-        edges = edges.unionByName(across(edges, clusters, banded, members, k, similar, block))
+        edges = edges.unionByName(across(edges, banded, members, k, similar, block))
     parts = components(edges, "low", "cid")
     result = named.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.coalesce("component", "cid").alias("component_id"))
     out = sig.select("doc_id", "n_shingles").join(result, "doc_id", "left")
@@ -216,6 +217,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def units(text: Column) -> Column:
+    """What a class counts for in a block: one, and one more for each UNIT bytes of its text, so that a block is bounded in bytes."""
+    return F.lit(1) + F.floor(F.octet_length(text) / UNIT).cast("long")
+
+
 def slices(size: Column, most: int) -> Column:
     """The slice of a class (column cid) of a group, and how many there are: one, or as many as hold about ``most`` classes."""
     m = F.ceil(size / most).cast("int")
@@ -247,18 +253,19 @@ def estimated_links(rows: DataFrame, similar: int, sigmas: float = SIGMAS) -> Da
     return rows.groupBy("key", "block2").applyInArrow(run, "cid long, center long")
 
 
-def across(edges: DataFrame, clusters: DataFrame, banded: DataFrame, members: DataFrame, k: int, similar: int, block: int) -> DataFrame:
+def across(edges: DataFrame, banded: DataFrame, members: DataFrame, k: int, similar: int, block: int) -> DataFrame:
     """What confirm_blocks gives for parts of clusters that did not fit one block; each task gives at most a row for each member."""
     parts = components(edges, "low", "cid").withColumnRenamed("node", "cid")
-    large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("cluster")
-    here = clusters.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", F.coalesce("component", "cid").alias("part"))
+    held_by = members.select("cid", "cluster", "units")
+    large = held_by.groupBy("cluster").agg(F.sum("units").alias("n")).where(F.col("n") > block).select("cluster")
+    here = held_by.join(large, "cluster", "left_semi").join(parts, "cid", "left").select("cid", F.coalesce("component", "cid").alias("part"))
     held = written(banded.join(here, "cid").select("cid", "part", F.explode("bands").alias("key")), "held")
     mixed = held.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
     met = held.join(mixed, "key").select("key", "cid", "part", F.explode(meetings(slices(F.col("size"), 4 * block))).alias("block2"))
     near = estimated_links(met.join(banded.select("cid", "short"), "cid"), similar)
     groups = written(components(near, "center", "cid").withColumnRenamed("node", "cid"), "groups")
     drop(held)
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = groups.join(held_by, "cid").groupBy("component").agg(F.sum("units").alias("size"))
     dealt = groups.join(sizes, "component").select("cid", F.col("component").alias("block"), F.explode(meetings(slices(F.col("size"), block))).alias("block2"))
     return written(confirm_blocks(dealt.join(members.select("cid", "text"), "cid").select("block", "block2", "cid", "text"), k, similar), "across")
 

@@ -359,6 +359,22 @@ def test_minhash_keeps_chance_clusters_apart(spark):
     assert got == brute_groups(rows, 4)
 
 
+def test_minhash_deals_long_texts_to_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "UNIT", 300)
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 150 * (g + 1))]
+        for _ in range(6):
+            w = list(base)
+            for x in rng.integers(0, len(w), rng.integers(0, 4 * (g + 1))):
+                w[x] = f"e{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, k=4, block=8).collect()}
+    assert got == brute_groups(rows, 4)
+
+
 def test_minhash_edges(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
