@@ -19,9 +19,9 @@ empty set and is linked with nothing). Two documents are linked if 100 * |inters
    falls apart. Each two slices of BLOCK classes of a group meet in one task, which intersects full sets again and returns
    no pairs but the links along which parts hang together. The components of the confirmed links are the result.
 
-Defined cases: null, empty and blank texts have n_shingles 0, are their own component and are kept; of rows that share an
-id, only the smallest text is read, and each is a row of the result with that text's facts; rows with a null id are kept and never linked; an empty table gives
-none. Only the id and text columns are read, so further columns may have any name. No cap is set on bucket or cluster sizes.
+Defined cases: null, empty and blank texts have n_shingles 0, are their own component and are kept; rows that share an
+id are each compared and counted by their own text, and share the smallest id that any of them reaches; rows with a null id are kept and
+never linked; an empty table gives none. Only the id and text columns are read, so further columns may have any name. No cap is set on bucket or cluster sizes.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, shingles, text_bytes, tokens, written
+from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, shingles, text_bytes, tokens, with_row_ids, written
 from graphloom.llm.components import components
 
 PERMUTATIONS, ROWS, BLOCK, SIMILAR, SIGMAS, UNIT = 64, 4, 512, 80, 5.5, 1 << 16
@@ -173,10 +173,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR, block:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
-        one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-        found = near_duplicates(one.unionByName(docs.where("doc_id is null")), k, similar, block, permutations, rows)
-        again = docs.where("doc_id is not null").select("doc_id").join(found, "doc_id")
-        return again.unionByName(found.where("doc_id is null"))
+        return by_rows(docs, k, similar, block, permutations, rows)
     sig = written(sketch(docs, k, permutations, rows), "sketch")
     named = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = written(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cid")), "classes")
@@ -222,6 +219,22 @@ def units(text: Column) -> Column:
     return F.lit(1) + F.floor(F.octet_length(text) / UNIT).cast("long")
 
 
+def by_rows(docs: DataFrame, *how: int) -> DataFrame:
+    """The same where rows share ids: each row is a document of its own, named by its row number while links are searched; the rows
+    of one id and of the components they lie in then share the smallest id."""
+    numbered = with_row_ids(docs.where("doc_id is not null"))
+    found = near_duplicates(numbered.select(F.col("rid").alias("doc_id"), "text"), *how)
+    named = found.select(F.col("doc_id").alias("rid"), "n_shingles", F.col("component_id").alias("part")).join(numbered.select("rid", "doc_id"), "rid")
+    named = written(named, "named")
+    # ids whose rows lie in one part hang together, each tied to the smallest of them
+    firsts = named.groupBy("part").agg(F.min("doc_id").alias("first"))
+    ties = named.where("n_shingles > 0").join(firsts, "part").select("first", "doc_id").distinct()
+    whole = components(ties, "first", "doc_id").select(F.col("node").alias("doc_id"), "component")
+    out = named.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    return out.unionByName(near_duplicates(docs.where("doc_id is null"), *how))
+
+
 def slices(size: Column, most: int) -> Column:
     """The slice of a class (column cid) of a group, and how many there are: one, or as many as hold about ``most`` classes."""
     m = F.ceil(size / most).cast("int")

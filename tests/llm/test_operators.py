@@ -375,6 +375,17 @@ def test_minhash_deals_long_texts_to_several_blocks(spark, monkeypatch):
     assert got == brute_groups(rows, 4)
 
 
+def test_minhash_of_rows_that_share_ids(spark):
+    """Every row is compared by its own text; an id reaches what any of its rows reaches."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(5, texts[0]), (5, texts[1]), (6, texts[1] + " more"), (3, texts[0] + " end"), (9, texts[2]), (9, texts[2]), (10, texts[2]), (12, ""), (12, texts[0][:9]), (12, None), (None, texts[0]), (None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4, block=3).collect()
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str)
+    want = [(5, 37, 3, False), (5, 37, 3, False), (6, 38, 3, False), (3, 38, 3, True), (9, 37, 9, True), (9, 37, 9, True), (10, 37, 9, False)]
+    want += [(12, 0, 12, True), (12, 1, 12, True), (12, 0, 12, True), (None, 37, None, True), (None, 0, None, True)]
+    assert found == sorted(want, key=str)
+
+
 def test_minhash_edges(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
