@@ -102,10 +102,11 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def batches_of(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough that a batch of long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches_of(spark: SparkSession, rows: int = 1000, size: str = "8388608b") -> None:
+    """Arrow batches small enough, in rows and bytes, that a batch of long texts fits a Python worker; a longer row is a batch alone."""
+    for key, value in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") != value:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
 # -- byte-level tokenising in numpy -----------------------------------------------------------------------------------

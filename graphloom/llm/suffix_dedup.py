@@ -34,7 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Prefix, batches_of, chunks, drop, mix, powers, read, release, text_bytes, tokens, with_row_ids, written
@@ -322,12 +323,14 @@ def word_windows(spans: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
-            for k, (rid, parts) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            at, begin, sizes, seeds = struct_lists(batch.column(2))
+            for k, rid in enumerate(batch.column(0).to_pylist()):
                 h, _ = word_hashes(data[starts[k] : starts[k + 1]], np.array([0, starts[k + 1] - starts[k]]))
-                n = np.array([p["n"] for p in parts])
-                s = np.repeat([p["s"] for p in parts], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                own = slice(at[k], at[k + 1])
+                n = sizes[own].astype(np.int64)
+                s = np.repeat(begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 sums = Sums(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rid), pa.int64()), pa.array(s, pa.int64()), pa.array(np.repeat(np.array([p["a"] for p in parts], np.int64), n)), pa.array(sums.of(s, s + length).view(np.int64))], ["rid", "s", "a", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), rid), pa.int64()), pa.array(s, pa.int64()), pa.array(np.repeat(seeds[own], n)), pa.array(sums.of(s, s + length).view(np.int64))], ["rid", "s", "a", "h"])
 
     return spans.select("rid", "text", "parts").mapInArrow(run, "rid long, s long, a long, h long")
 
@@ -345,7 +348,9 @@ def word_runs(docs: DataFrame, length: int, seed: int = WORD_SEED) -> DataFrame:
     variants = written(found.groupBy("a", "t").agg(first.alias("v")).select("a", "t", "v.*"), "variants")
     several = repeated(variants, "a").groupBy("rid").agg(F.collect_list(F.struct("s", "n", "a")).alias("parts"))
     windows = written(word_windows(several.hint("merge").join(docs.select("rid", "text"), "rid"), length), "windows")
-    hits = repeated(windows, "a", "h").select("rid", "s", F.lit(1).alias("n"))
+    # windows that follow each other are one run, so that a text's list has an entry for each run, not for each word
+    nth = F.dense_rank().over(Window.partitionBy("rid").orderBy("s"))
+    hits = repeated(windows, "a", "h").select("rid", "s", (F.col("s") - nth).alias("run")).groupBy("rid", "run").agg(F.min("s").alias("s"), (F.max("s") - F.min("s") + 1).alias("n")).drop("run")
     span = F.struct(F.col("s").alias("b"), (F.col("s") + F.col("n") + length - 1).alias("e"))
     out = written(whole.unionByName(hits).groupBy("rid").agg(F.collect_list(span).alias("runs")), "runs")
     release(spark)
@@ -354,14 +359,18 @@ def word_runs(docs: DataFrame, length: int, seed: int = WORD_SEED) -> DataFrame:
     return out
 
 
-def merged(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for b, e in sorted(spans):
-        if out and b <= out[-1][1]:
-            out[-1][1] = max(e, out[-1][1])
-        else:
-            out.append([b, e])
-    return [tuple(x) for x in out]
+def struct_lists(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Where each row's list begins (and the last ends), and the fields of all lists' structs; a null is an empty list."""
+    at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    return at, *(f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten())
+
+
+def merged(b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of what ranges cover together, in order."""
+    o = np.argsort(b, kind="stable")
+    b, e = b[o], np.maximum.accumulate(e[o])
+    edge = np.flatnonzero(b[1:] > e[:-1])
+    return b[np.concatenate((np.zeros(min(1, len(b)), np.int64), edge + 1))], e[np.concatenate((edge, np.full(min(1, len(b)), len(b) - 1)))]
 
 
 def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED, words: int | None = None, cut_words: bool = True) -> DataFrame:
@@ -380,22 +389,24 @@ def cut_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED, word
         for batch in batches:
             data, starts = text_bytes(batch.column(place["text"]))
             texts, facts = [], []
-            runs = batch.column(place["runs"]).to_pylist() if words else [None] * batch.num_rows
-            for i, (spans, more) in enumerate(zip(batch.column(place["spans"]).to_pylist(), runs, strict=True)):
+            at, span_b, span_e = struct_lists(batch.column(place["spans"]))
+            run_at, run_b, run_e = struct_lists(batch.column(place["runs"])) if words else (np.zeros(batch.num_rows + 1, np.int64), *[np.zeros(0, np.int64)] * 2)
+            for i in range(batch.num_rows):
                 raw = data[starts[i] : starts[i + 1]].tobytes()
-                ranges = [(s["b"], s["e"]) for s in spans or ()]
-                more = merged((s["b"], s["e"]) for s in more or ())
-                if more and cut_words:
+                b, e = span_b[at[i] : at[i + 1]], span_e[at[i] : at[i + 1]]
+                first, last = merged(run_b[run_at[i] : run_at[i + 1]], run_e[run_at[i] : run_at[i + 1]])
+                if len(first) and cut_words:
                     begin, end, _ = tokens(data[starts[i] : starts[i + 1]], np.array([0, len(raw)]))
-                    ranges += [(int(begin[b]), int(end[e - 1])) for b, e in more]
-                ranges = merged(ranges)
-                kept, last = [], 0
-                for b, e in ranges:
-                    kept.append(raw[last:b])
-                    last = e
+                    b, e = np.concatenate((b, begin[first])), np.concatenate((e, end[last - 1]))
+                n_run_words = int((last - first).sum())
+                b, e = merged(b, e)
+                n_spans, kept, last = len(b), [], 0
+                for x, y in zip(b.tolist(), e.tolist(), strict=True):
+                    kept.append(raw[last:x])
+                    last = y
                 rest = b"".join((*kept, raw[last:]))
                 texts.append(rest.decode("utf-8", "ignore"))
-                facts.append((len(raw), len(raw) - len(rest), len(ranges), hashlib.sha256(rest).hexdigest(), sum(e - b for b, e in more)))
+                facts.append((len(raw), len(raw) - len(rest), n_spans, hashlib.sha256(rest).hexdigest(), n_run_words))
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(place[c]) for c in names]
             more = [pa.array([f[k] for f in facts], pa.string() if k == 3 else pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*columns, *more], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_run_words"])
