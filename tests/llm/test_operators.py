@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -164,6 +165,26 @@ def test_suffix_dedup_family_and_pieces(monkeypatch):
     assert sizes == sorted(sizes, reverse=True) and sum(sizes) == len(spans)
 
 
+def test_suffix_dedup_ranges():
+    """Lists of ranges, also sliced and with nulls, and what ranges cover, against marks on a line."""
+    lists = [None, [], [(3, 5)], [(1, 4), (4, 6), (9, 12)], None, [(7, 8), (0, 2)]]
+    column = pa.array([None if v is None else [{"b": b, "e": e} for b, e in v] for v in lists], pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))
+    for cut in (0, 1, 3):
+        at, b, e = suffix_dedup.struct_lists(column.slice(cut))
+        got = [list(zip(b[x:y].tolist(), e[x:y].tolist(), strict=True)) for x, y in zip(at[:-1], at[1:], strict=True)]
+        assert got == [v or [] for v in lists[cut:]]
+    rng = np.random.default_rng(3)
+    for n in [0, 1, 2, 5, 20] * 20:
+        b = rng.integers(0, 60, n)
+        e = b + rng.integers(1, 9, n)
+        line = np.zeros(80, int)
+        for x, y in zip(b, e, strict=True):
+            line[x : y] = 1
+        edge = np.diff(np.concatenate(([0], line, [0])))
+        first, last = suffix_dedup.merged(b, e)
+        assert first.tolist() == np.flatnonzero(edge == 1).tolist() and last.tolist() == np.flatnonzero(edge == -1).tolist()
+
+
 def test_suffix_dedup_edges(spark, odd):
     got = suffix_dedup.cut_duplicates(odd).collect()
     want = brute_removed([t or "" for _, t in ODD], 400)
