@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_operators import WORD, brute_groups  # noqa: E402
+from test_operators import WORD, brute_groups, brute_quality, many_labels  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +40,16 @@ def test_run(spark):
     assert pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "round_trip"]
 
 
+def test_quality_stage_fits_all_labels(spark, tmp_path):
+    """The stage keeps what brute force over all of 30,000 labels keeps."""
+    texts, labels = many_labels(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    folds = {r["doc_id"]: r["fold"] for r in labels.where("quality = 1").selectExpr("doc_id", "pmod(xxhash64(doc_id, 5), 4) as fold").collect()}
+    want = {i for i, (_, kept) in brute_quality(texts, {i: folds[i] for i in texts if i in folds}).items() if kept}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in pipeline.quality_rules(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_suffix_stage_cuts_passages_of_51_words(spark):
     """Runs of over 50 words that repeat, of less than 400 bytes, also with other white space between; 50 words stay."""
     rng = np.random.default_rng(7)
