@@ -9,13 +9,14 @@ target. The target is every document labelled good.
 The texts are written once with a mark on those of the target. Counts are of all documents and all words and pairs, by 64-bit hashes; nothing is capped.
 
 1. ``grams``: the counts of all words, as a table that grows with the corpus, and those of pairs that make up at least
-   1/(2 HOT) of a chunk of text. A pair above 1/HOT of the corpus is counted by at least half that way, so it is found.
+   1/(2 HOT) of a stretch of text. A pair above 1/HOT of the corpus is counted by at least half that way, so it is found.
 2. Words and pairs above 1/(2 HOT) of the corpus, 2 HOT of each at most, are frequent: their counts (of pairs exact ones, by one
    more pass) are broadcast, and their losses are added where the text is read. So no frequent key meets in one task.
-3. The rest goes through one shuffle: a row for each document and different pair, keyed by its second word, or by the pair
-   if that word is frequent. A task sorts its rows by key, so that it holds one key's rows, at most 1/HOT of the corpus, and
-   one batch at a time; it counts words, contexts and pairs there and returns each row's losses, which are summed by document. This is
-   done in PASSES parts of the keys one after the other, so that the shuffle files of one part only lie on disk.
+3. The rest goes through one shuffle: an entry for each token, keyed by its word, or by the pair if that word is frequent. Keys
+   are dealt into slots of about GATHER entries, as many as the corpus needs, and what a stretch of text has for a slot travels
+   packed in one row. A task holds one slot at a time, and of one key at most 1/HOT of the corpus; it counts words, contexts and
+   pairs there. The losses go back packed by slots of documents, where they are summed. This is done in PASSES parts of the
+   slots one after the other, so that the shuffle files of one part only lie on disk.
 
 Defined cases: null and blank texts have no tokens and null losses and score; without target documents both models are
 the same and scores are 0; repeated rows count and are scored each; a null id is no target; an empty table gives none. Only the
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import LOWER, Prefix, batches_of, chunks, drop, mix, read, release, text_bytes, tokens, with_row_ids, written
 
-BACKOFF, CHUNK, HOT, PASSES, GATHER = 20.0, 4 << 20, 1 << 16, 4, 1 << 16
+BACKOFF, CHUNK, HOT, PASSES, GATHER = 20.0, 4 << 20, 1 << 16, 3, 1 << 19
+#: Documents of a slot, entries of a batch that is packed, and of those that are held to be summed.
+DOCUMENTS, PACK, HELD = 20_000, 1 << 20, 1 << 21
 START = np.uint64(0xBB67AE8584CAA73B)
-#: What w tells of a shuffled row: at least 0 the frequent word it ends in, else one of these.
-COLD, TARGET_SUM, BACKGROUND_SUM = -1, -2, -3
+#: Bits of an entry: it ends its text, is of the target, ends in a frequent word.
+LAST, OWN, FREQUENT = 1, 2, 4
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,35 +69,94 @@ def pairs_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return before, mix(mix(before) + h), last
 
 
-def place_in(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Place of each hash in sorted keys, -1 where it is none of them."""
-    if not len(keys):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, at, -1)
+class Places:
+    """Places of hashes in sorted keys, found from their first bits."""
 
+    def __init__(self, keys: np.ndarray):
+        bits = len(keys).bit_length() + 1
+        self.n, self.shift = len(keys), np.uint64(64 - bits)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
-def counted(h: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct hashes, how often each occurs, and the sums of the weights of each."""
-    keys, at, n = np.unique(h, return_inverse=True, return_counts=True)
-    return keys, n, *(np.bincount(at, weights=w, minlength=len(keys)).astype(np.int64) for w in weights)
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 where it is no key."""
+        at = self.first[h >> self.shift]
+        left = np.flatnonzero(self.keys[at] < h)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < h[left]]
+        return np.where((self.keys[at] == h) & (at < self.n), at, -1)
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values where each different one begins, and how often it occurs."""
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(ordered)]
+    return begin, np.diff(np.append(begin, len(ordered)))
+
+
+def summed(h: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values, how often each occurs, and the sums of the weights of each."""
+    order = np.argsort(h)
+    ordered = h[order]
+    begin, n = runs(ordered)
+    return ordered[begin], n, *(np.add.reduceat(w[order], begin) if len(h) else w for w in weights)
+
+
+def packed(slot: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each slot (below 2**31) a row with the slot and, of each column, the entries of that slot as bytes."""
+    for i in range(0, len(slot), PACK):
+        low = slot[i : i + PACK].min()
+        some = slot[i : i + PACK] - low
+        order = np.argsort(some.astype(np.uint16) if some.max() < 1 << 16 else some, kind="stable")
+        begin, n = runs(some[order])
+        ends = np.append(begin, len(order))
+        data = [pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(c[i : i + PACK][order])]) for c in columns.values()]
+        yield pa.RecordBatch.from_arrays([pa.array((some[order][begin] + low).astype(np.int32)), *data], ["slot", *columns])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of rows in order of their slots, each run of a batch: the slot and its columns' bytes."""
+    for batch in batches:
+        slot = batch.column(0).to_numpy(zero_copy_only=False)
+        columns = [text_bytes_of(batch.column(c)) for c in range(1, batch.num_columns)]
+        for i, n in zip(*runs(slot), strict=True):
+            yield int(slot[i]), [data[at[i] : at[i + n]] for data, at in columns]
+
+
+def text_bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value begins (and the last ends)."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
 def grams(docs: DataFrame) -> DataFrame:
     """kind, h, n, t, e, et: of words (kind 0) the count, the target's, and both as last word of a text; of frequent pairs
-    (kind 1) the count in chunks where they are."""
+    (kind 1) the count in stretches of text where they are."""
     rare = 2 * HOT
 
+    def counted(held):
+        h, k, mine, last = (np.concatenate(c) for c in zip(*held, strict=True))
+        words = summed(h, *(w.astype(np.int64) for w in (mine, last, mine & last)))
+        k = np.sort(k)
+        begin, n = runs(k)
+        some = n * rare >= len(k)
+        none = np.zeros(int(some.sum()), np.int64)
+        columns = [np.repeat([0, 1], [len(words[0]), len(none)]).astype(np.int32), np.concatenate((words[0], k[begin[some]])).view(np.int64), np.concatenate((words[1], n[some])), *(np.concatenate((w, none)) for w in words[2:])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "h", "n", "t", "e", "et"])
+
     def run(batches):
+        held, size = [], 0
         for _, own, h, first in parts(batches):
-            mine = np.repeat(own, np.diff(first))
             _, k, last = pairs_of(h, first)
-            words = counted(h, mine, last, mine & last)
-            keys, n = counted(k)
-            some = n * rare >= len(k)
-            none = np.zeros(int(some.sum()), np.int64)
-            columns = [np.repeat([0, 1], [len(words[0]), len(none)]).astype(np.int32), np.concatenate((words[0], keys[some])).view(np.int64), np.concatenate((words[1], n[some])), *(np.concatenate((w, none)) for w in words[2:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "h", "n", "t", "e", "et"])
+            held.append((h, k, np.repeat(own, np.diff(first)), last))
+            size += len(h)
+            if size >= PACK:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
 
     each = docs.mapInArrow(run, "kind int, h long, n long, t long, e long, et long")
     return each.groupBy("kind", "h").agg(*(F.sum(c).alias(c) for c in ("n", "t", "e", "et")))
@@ -132,13 +194,18 @@ def frequent(docs: DataFrame, table: DataFrame) -> Model:
     words, pairs = model.words, model.pairs
 
     def run(batches):
+        word, pair = Places(words), Places(pairs)
+        w, n, t = (np.zeros(len(pairs), np.int64) for _ in range(3))
         for _, own, h, first in parts(batches):
             _, k, _ = pairs_of(h, first)
-            q = place_in(pairs, k)
-            some = q >= 0
-            place, one, at, n = np.unique(q[some], return_index=True, return_inverse=True, return_counts=True)
-            t = np.bincount(at, weights=np.repeat(own, np.diff(first))[some], minlength=len(n))
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(place_in(words, h[some][one]), pa.int64()), pa.array(n), pa.array(t.astype(np.int64))], ["q", "w", "n", "t"])
+            q = pair.of(k)
+            some = np.flatnonzero(q >= 0)
+            q = q[some]
+            w[q] = word.of(h[some])
+            n += np.bincount(q, minlength=len(n))
+            t += np.bincount(q[np.repeat(own, np.diff(first))[some]], minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (some, w[some], n[some], t[some])], ["q", "w", "n", "t"])
 
     exact = docs.mapInArrow(run, "q long, w long, n long, t long").groupBy("q").agg(F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow() if len(pairs) else None
     if exact is None:
@@ -150,91 +217,141 @@ def frequent(docs: DataFrame, table: DataFrame) -> Model:
     return model
 
 
-def rare_rows(docs: DataFrame, shared, part: int) -> DataFrame:
-    """g (key), a (the word before, where the key is a word), rid, x (times the pair occurs, whether it ends the text, whether the
-    text is of the target), w: the pairs that are not frequent and lie in this part. In the first part also what the frequent ones add."""
-    passes = PASSES
+@dataclass
+class Slots:
+    """How many slots the keys of one part are dealt into, and how many the documents."""
+
+    keys: int
+    documents: int
+
+    def of_documents(self, rid: np.ndarray) -> np.ndarray:
+        return (mix(rid.view(np.uint64)) % np.uint64(self.documents)).astype(np.int64)
+
+
+def rare_rows(docs: DataFrame, shared, slots: Slots, part: int) -> DataFrame:
+    """slot, and packed g (key), a (the word before; if the key is a pair, the place of its frequent word), rid and x (LAST, OWN,
+    FREQUENT): the tokens of pairs that are not frequent and lie in this part. In the first part also, in slots beyond those of the
+    keys, what the frequent ones add to both losses (g and a) of each document, and its tokens (x)."""
+    every, low = PASSES * slots.keys, part * slots.keys
 
     def run(batches):
         model = shared.value
+        word, pair = Places(model.words), Places(model.pairs)
         for rid, own, h, first in parts(batches):
-            doc = np.repeat(np.arange(len(rid)), np.diff(first))
+            n = np.diff(first)
+            doc = np.repeat(np.arange(len(rid)), n)
             a, k, last = pairs_of(h, first)
-            w, q = place_in(model.words, h), place_in(model.pairs, k)
-            out = []
-            if part == 0:
-                n = np.diff(first)
-                for side, code in ((0, TARGET_SUM), (1, BACKGROUND_SUM)):
+            w = word.of(h)
+            hot = w >= 0
+            q = np.full(len(h), -1)
+            q[hot] = pair.of(k[hot])  # a frequent pair ends in a frequent word
+            if part == 0 and len(h):
+                losses = []
+                for side in (0, 1):
                     loss = np.zeros(len(h))
                     loss[q >= 0] = model.losses[side][q[q >= 0]]
-                    inner = (w >= 0) & ~last
+                    inner = hot & ~last
                     loss[inner] += model.contexts[side][w[inner]]
-                    total = np.bincount(doc, weights=loss, minlength=len(rid)) + np.where(n > 0, np.log(model.texts[side] + BACKOFF), 0.0)
-                    out.append((mix(rid.view(np.uint64)).view(np.int64), total.view(np.int64), rid, n, np.full(len(rid), code)))
-            g = np.where(w >= 0, k, h)
-            some = np.flatnonzero((q < 0) & (mix(g) % np.uint64(passes) == part))
-            order = some[np.argsort(mix(k[some] + mix(doc[some].astype(np.uint64))))]
-            new = np.ones(len(order), bool)
-            new[1:] = (k[order[1:]] != k[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
-            at = np.flatnonzero(new)
-            one = order[at]
-            if len(one):
-                x = np.diff(np.append(at, len(order))) * 4 + np.add.reduceat(last[order], at).astype(bool) * 2 + own[doc[one]]
-                out.append((g[one].view(np.int64), np.where(w[one] >= 0, np.uint64(0), a[one]).view(np.int64), rid[doc[one]], x, w[one]))
-            for c in zip(*([np.concatenate([o[k] for o in out])] for k in range(5)), strict=True) if out else ():
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in c[:3]), *(pa.array(v, pa.int32()) for v in c[3:])], ["g", "a", "rid", "x", "w"])
-
-    return docs.mapInArrow(run, "g long, a long, rid long, x int, w int")
-
-
-def row_losses(model: Model, g: np.ndarray, a: np.ndarray, rid: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-    """rid, n (tokens of the text, once), and what each row adds to both losses; all rows of a key are here."""
-    sums = w <= TARGET_SUM
-    n = np.where(w == TARGET_SUM, x, 0).astype(np.int64)
-    out = [np.where(w == code, a.view(np.float64), 0.0) for code in (TARGET_SUM, BACKGROUND_SUM)]
-    rows = np.flatnonzero(~sums)
-    if len(rows):
-        g, a, x, w = g[rows], a[rows], x[rows], w[rows]
-        m, ends, own = x >> 2, (x >> 1) & 1, x & 1
-        key = np.cumsum(np.concatenate(([True], g[1:] != g[:-1]))) - 1
-        pair = np.unique(mix(mix(g.view(np.uint64)) + a.view(np.uint64)), return_inverse=True)[1]
-        target = model.total[0] != model.total[1]
-        for side in (0, 1):
-            times = m * own if side == 0 and target else m
-            inner = (m - ends) * own if side == 0 and target else m - ends
-            both = np.bincount(pair, weights=times)[pair]
-            words = np.bincount(key, weights=times)[key]
-            words[w >= 0] = model.counts[side][w[w >= 0]]
-            context = np.where(w >= 0, 0.0, (m - ends) * np.log(np.bincount(key, weights=inner)[key] + BACKOFF))
-            out[side][rows] = context - m * np.log(both + model.share(side, words))
-    return rid, n, *out
-
-
-def summed(rows: DataFrame, shared) -> DataFrame:
-    """rid, n, loss_t, loss_n: of each document the sums over rows."""
+                    total = np.bincount(doc, weights=loss, minlength=len(rid)) + np.log(model.texts[side] + BACKOFF)
+                    losses.append(total[n > 0])
+                some = rid[n > 0]
+                yield from packed(every + slots.of_documents(some), {"g": losses[0], "a": losses[1], "rid": some, "x": n[n > 0].astype(np.int64)})
+            g = np.where(hot, k, h)
+            slot = ((g >> np.uint64(32)) * np.uint64(every) >> np.uint64(32)).astype(np.int64)
+            some = np.flatnonzero((q < 0) & (slot >= low) & (slot < low + slots.keys))
+            x = last[some] * np.uint8(LAST) + own[doc[some]] * np.uint8(OWN) + hot[some] * np.uint8(FREQUENT)
+            before = np.where(hot[some], w[some].astype(np.uint64), a[some])
+            yield from packed(slot[some], {"g": g[some], "a": before, "rid": rid[doc[some]], "x": x})
+
+    return docs.mapInArrow(run, "slot int, g binary, a binary, rid binary, x binary")
+
+
+def row_losses(model: Model, g: np.ndarray, a: np.ndarray, rid: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """rid and what each entry adds to both losses; all entries of a key are here."""
+    order = np.argsort(g)
+    g, a, rid, x = g[order], a[order], rid[order], x[order]
+    begin, n = runs(g)
+    hot = (x & FREQUENT) > 0
+    pair = np.where(hot, g, mix(mix(a) + g))
+    by_pair = np.argsort(pair)
+    first, m = runs(pair[by_pair])
+    target = model.total[0] != model.total[1]
+    own, inner = (x & OWN) > 0, (x & LAST) == 0
+    word = np.where(hot[begin], a[begin], np.uint64(0)).astype(np.int64)
+    out = []
+    for side in (0, 1):
+        mine = side == 0 and target
+        both = np.empty(len(g))
+        both[by_pair] = np.repeat(np.add.reduceat(own[by_pair].astype(np.int64), first) if mine else m, m)
+        words = np.add.reduceat(own.astype(np.int64), begin) if mine else n
+        if hot.any():
+            words = np.where(hot[begin], model.counts[side][word], words)
+        contexts = np.log(np.add.reduceat((inner & own if mine else inner).astype(np.int64), begin) + BACKOFF)
+        out.append(np.where(inner & ~hot, np.repeat(contexts, n), 0.0) - np.log(both + np.repeat(model.share(side, words), n)))
+    return rid, *out
+
+
+def losses(rows: DataFrame, shared, slots: Slots) -> DataFrame:
+    """slot (of documents), and packed rid, n (tokens of the text, once), t and b: what the entries of rare_rows add to the losses."""
+    every, schema = PASSES * slots.keys, "slot int, rid binary, n binary, t binary, b binary"
+
+    def run(batches):
+        model, at, held, done, size = shared.value, -1, [], [], 0
+
+        def given(done):
+            rid, _, t, b = summed(*(np.concatenate(c) for c in zip(*done, strict=True)))
+            yield from packed(slots.of_documents(rid), {"rid": rid, "n": np.zeros(len(rid), np.int64), "t": t, "b": b})
+
+        def key_losses(held):
+            return row_losses(model, *(np.concatenate(c).view(kind) for c, kind in zip(zip(*held, strict=True), (np.uint64, np.uint64, np.int64, np.uint8), strict=True)))
+
+        for slot, columns in unpacked(batches):
+            if slot >= every:
+                t, b, rid, n = columns
+                ends = [np.array([0, len(c)], np.int32) for c in (rid, n, t, b)]
+                yield pa.RecordBatch.from_arrays([pa.array([slot - every], pa.int32()), *(pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(e), pa.py_buffer(np.ascontiguousarray(c))]) for c, e in zip((rid, n, t, b), ends, strict=True))], ["slot", "rid", "n", "t", "b"])
+                continue
+            if slot != at and held:
+                done.append(key_losses(held))
+                size += len(done[-1][0])
+                held = []
+                if size >= HELD:
+                    yield from given(done)
+                    done, size = [], 0
+            at = slot
+            held.append(columns)
+        if held:
+            done.append(key_losses(held))
+        if done:
+            yield from given(done)
+
+    return rows.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, schema)
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """rid, n, loss_t, loss_n: of each document the sums of losses()."""
 
     def run(batches):
-        model, held, size = shared.value, [], 0
-
-        def flush(whole: bool):
-            table = [np.concatenate([h[c] for h in held]) for c in range(5)]
-            cut = len(table[0]) if whole else int(np.searchsorted(table[0], table[0][-1]))
-            if cut:
-                got = row_losses(model, *(c[:cut] for c in table))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["rid", "n", "loss_t", "loss_n"])
-            held[:] = [tuple(c[cut:] for c in table)]
-
-        for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)))
-            size += batch.num_rows
-            if size >= GATHER:
-                yield from flush(False)
+        at, held, size = -1, [], 0
+
+        def total(held):
+            rid, _, *sums = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            return rid, *sums
+
+        for slot, columns in unpacked(batches):
+            if held and (slot != at or size >= HELD):
+                held = [total(held)]
                 size = 0
+                if slot != at:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["rid", "n", "loss_t", "loss_n"])
+                    held = []
+            at = slot
+            held.append(tuple(np.ascontiguousarray(c).view(kind) for c, kind in zip(columns, (np.int64, np.int64, np.float64, np.float64), strict=True)))
+            size += len(held[-1][0])
         if held:
-            yield from flush(True)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in total(held)], ["rid", "n", "loss_t", "loss_n"])
 
-    each = rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "rid long, n long, loss_t double, loss_n double")
-    return each.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("n", "loss_t", "loss_n")))
+    return rows.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, "rid long, n long, loss_t double, loss_n double")
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -248,12 +365,14 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     marked = written(spread.join(good.hint("merge"), ["_id", "_none"], "left").select("rid", "text", F.col("own").isNotNull().alias("own")), "marked", "zstd")
     release(spark)
     table = written(grams(marked), "grams")
-    shared = spark.sparkContext.broadcast(frequent(marked, table))
+    model = frequent(marked, table)
+    slots = Slots(int(model.total[1]) // (PASSES * GATHER) + 1, int(model.texts[1]) // DOCUMENTS + 1)
+    shared = spark.sparkContext.broadcast(model)
     release(spark)
     drop(table)
     sums = None
     for part in range(PASSES):
-        some = written(summed(rare_rows(marked, shared, part), shared), "losses")
+        some = written(added(losses(rare_rows(marked, shared, slots, part), shared, slots)), "losses")
         release(spark)
         sums = some if sums is None else sums.unionByName(some)
     drop(marked)

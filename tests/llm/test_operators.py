@@ -519,6 +519,46 @@ def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch, hot=300):
     assert_losses(lm_scoring.score_documents(df, spark.createDataFrame([(i,) for i in good], "i long")), [(i, t.split()) for i, t in rows], good)
 
 
+def test_lm_scoring_packs_what_it_shuffles(spark, docs, monkeypatch):
+    """Each token is shuffled once, in rows that hold the entries of many."""
+    monkeypatch.setattr(lm_scoring, "HOT", 300)
+    marked = docs.select(F.col("doc_id").cast("long").alias("rid"), "text", (F.col("doc_id") % 3 == 0).alias("own"))
+    model = lm_scoring.frequent(marked, lm_scoring.grams(marked))
+    slots = lm_scoring.Slots(2, 3)
+    rows = [lm_scoring.rare_rows(marked, spark.sparkContext.broadcast(model), slots, p).selectExpr("slot", "length(g) div 8 as n", "length(x) as x").collect() for p in range(lm_scoring.PASSES)]
+    rare = [r for part in rows for r in part if r["slot"] < slots.keys * lm_scoring.PASSES]
+    texts = [re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "") for r in docs.collect()]
+    pairs = Counter(p for t in texts for w in [WORD.findall(t)] for p in zip(["", *w], w))
+    assert len(model.pairs) and sum(r["n"] for r in rare) == pairs.total() - sum(n for _, n in pairs.most_common(len(model.pairs))) == sum(r["x"] for r in rare)
+    assert sum(map(len, rows)) * 100 < pairs.total()
+
+
+def test_lm_scoring_packing(monkeypatch):
+    """Packed entries come back whole, also in batches; hashes are found among sorted keys, first and last ones too."""
+    monkeypatch.setattr(lm_scoring, "PACK", 64)
+    rng = np.random.default_rng(8)
+    for most in (1, 7, 100_000, 1 << 30):
+        slot, a, b = rng.integers(0, most, 500), rng.integers(0, 99, 500), rng.integers(0, 99, 500).astype(np.uint8)
+        got = [(s, *e) for s, (x, y) in lm_scoring.unpacked(lm_scoring.packed(slot, {"a": a, "b": b})) for e in zip(x.view(np.int64).tolist(), y.tolist(), strict=True)]
+        assert Counter(got) == Counter(zip(slot.tolist(), a.tolist(), b.tolist(), strict=True))
+    assert not list(lm_scoring.packed(np.zeros(0, np.int64), {"a": np.zeros(0, np.int64)}))
+    for n in (0, 1, 2, 3, 1000):
+        keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        keys[:1], keys[2:][-1:] = 0, 2**64 - 1
+        h = np.concatenate((keys, keys + np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)))
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert lm_scoring.Places(keys).of(h).tolist() == [at.get(int(x), -1) for x in h]
+
+
+def test_lm_scoring_in_many_slots(spark, docs, monkeypatch):
+    """Few entries in a slot and few held at a time give the same sums."""
+    for name, value in (("HOT", 300), ("GATHER", 500), ("DOCUMENTS", 9), ("HELD", 900)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    rows = [(r["doc_id"], re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) for r in docs.collect()]
+    good = {i for i, _ in rows if i % 4 == 0}
+    assert_losses(lm_scoring.score_documents(docs, spark.createDataFrame([(i,) for i in good], "i long")), [(i, WORD.findall(t)) for i, t in rows], good)
+
+
 def brute_best(words):
     """The best match of any template in a text, aligned at every place without a band: matched words, first place, name."""
     index = license_scan.Index(license_scan.TEMPLATES)
