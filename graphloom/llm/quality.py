@@ -44,7 +44,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns(
         {
             "n_words": F.size("w").cast("long"),
-            "word_chars": F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long"),
+            "word_chars": F.length(F.array_join("w", "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct("_h")) < F.size("_h"), repeated(F.col("_h"))).otherwise(F.lit(0)).cast("long"),
@@ -77,11 +77,14 @@ def repeated(h: Column) -> Column:
     return let(places, lambda p: F.aggregate(gaps(p), F.lit(0), lambda a, x: a + x))
 
 
-def buckets(w: Column) -> Column:
-    """The hash buckets of all words and word pairs."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(w, i), x), F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, two)
+def buckets(rows: DataFrame, *keep: str) -> DataFrame:
+    """Of rows with w: the kept columns and b, the hash bucket of each word and word pair. Words are rows with the word before, since
+    functions over arrays of hashes are not compiled."""
+    each = F.arrays_zip(F.col("w").alias("x"), F.concat(F.array(F.lit(None).cast("string")), F.col("w")).alias("p"))  # one more than words
+    pairs = rows.select(*keep, F.explode(each).alias("z")).select(*keep, "z.x", "z.p").where("x is not null")
+    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
+    both = F.array(bucket("x"), F.when(F.col("p").isNotNull(), bucket("p", "x")))
+    return pairs.select(*keep, F.explode(both).alias("b")).where("b is not null")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> list[DataFrame]:
 def fit(docs: DataFrame, trusted: DataFrame) -> tuple[list[int], dict[int, list[int]]]:
     """The weight of each bucket in millionths: BUCKETS numbers, whatever the size of the corpus. And for each fold those by the
     trusted texts of the other folds, where there are any."""
-    each = lambda rows, *c: rows.select(*c, words(F.col("text")).alias("w")).select(*c, F.explode(buckets(F.col("w"))).alias("b")).groupBy("b")
+    each = lambda rows, *c: buckets(rows.select(*c, words(F.col("text")).alias("w")), *c).groupBy("b")
     raw, folds = [0] * BUCKETS, [[0] * BUCKETS for _ in range(FOLDS)]
     for r in each(docs).agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows at most
         raw[r["b"]] = r["n"]
@@ -145,10 +148,10 @@ def judge(docs: DataFrame, labels: DataFrame, extra: tuple[str, ...] = ()) -> Da
 
 
 def scored_trusted(trusted: DataFrame, others: dict[int, list[int]]) -> DataFrame:
-    """score of each trusted text with enough words, by the weights of the other folds."""
+    """score of each trusted text, by the weights of the other folds; null with too few words (a filter would take the words apart twice)."""
     table = F.get(F.from_json(F.lit(json.dumps([others.get(k, []) for k in range(1, FOLDS + 1)])), "array<array<bigint>>"), F.col("_fold") - 1)
-    held = trusted.where(F.col("_fold").isin(*others)).select("_fold", words(F.col("text")).alias("w")).where(F.size("w") >= LEAST_WORDS)
-    return held.select(score(F.col("w"), table).alias("score"))
+    held = trusted.where(F.col("_fold").isin(*others)).select("_fold", words(F.col("text")).alias("w"))
+    return held.select(F.when(F.size("w") >= LEAST_WORDS, let(table, lambda t: score(F.col("w"), t))).alias("score"))
 
 
 def threshold(trusted: DataFrame) -> float:

@@ -147,6 +147,20 @@ def test_quality_separates(spark):
     assert kept[1] > 0.98 and kept[0] < 0.3
 
 
+def test_quality_takes_texts_apart_once(spark, docs):
+    """The fit counts without functions over arrays, which are not compiled, and it and the threshold split each text once."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    some = docs.select((F.col("doc_id") % quality.FOLDS + 1).cast("int").alias("_fold"), "text")
+    fit = quality.buckets(some.select("_fold", quality.words(F.col("text")).alias("w")), "_fold")
+    assert plan(fit).count("split(") == 1 and "lambda" not in plan(fit)
+    texts = {r["doc_id"]: WORD.findall(r["text"] or "") for r in docs.collect()}
+    want = Counter((i % quality.FOLDS + 1, signed_hash(g) % quality.BUCKETS) for i, w in texts.items() for g in [*((x,) for x in w), *zip(w, w[1:])])
+    assert {(r["_fold"], r["b"]): r["count"] for r in fit.groupBy("_fold", "b").count().collect()} == want
+    scores = quality.scored_trusted(some, {1: [5] * quality.BUCKETS, 3: [7] * quality.BUCKETS})
+    assert plan(scores).count("split(") == 1
+    assert scores.count() == sum(i % 4 in (0, 2) for i in texts) and scores.where("score is not null").count() == sum(i % 4 in (0, 2) and len(w) >= quality.LEAST_WORDS for i, w in texts.items())
+
+
 def brute_removed(texts, length):
     raw = [t.encode() for t in texts]
     n = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
